@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import line_dedup, sharding
+    from . import decontaminate, language_id, line_dedup, pieces, sharding, simhash
 
-    return (line_dedup, sharding)
+    return (language_id, pieces, simhash, line_dedup, decontaminate, sharding)
 
 
 def queries() -> dict:

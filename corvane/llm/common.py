@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The ASCII white space ``[\x20\x09-\x0D]``.
@@ -89,3 +91,18 @@ def skew_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total:
     out = out.join(light, (F.col(key) == F.col("_lk")) & (F.col("_salt") == F.col("_ls")), "left")
     picked = F.coalesce("_hv", "_lv")
     return out.select(*[F.col(c) for c in rows.columns], *[picked[c].alias(c) for c in values])
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches small enough that very long texts stay in memory."""
+    ship(df.sparkSession)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name, None) in (None, "10000"):
+        df.sparkSession.conf.set(name, "2000")
+    return df.mapInArrow(fn, schema)
+
+
+def with_columns(df: DataFrame, added: str) -> str:
+    """The schema of ``df`` as DDL, with ``added`` behind it."""
+    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return f"{own}, {added}" if added else own
