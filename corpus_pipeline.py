@@ -1,15 +1,63 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
+columns of ``documents``. Null and empty texts have no language and leave in the first stage; an empty table passes
+through as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import decontaminate, language_id, line_dedup, pieces, simhash
+from corvane.llm.common import shared_path, table
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language is rejected."""
+    return language_id.identify(docs, language_id.train(docs, F.lit(True)), accepted_only=True)
+
+
+def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines that many documents repeat; documents stay, with what is left of their text."""
+    out = line_dedup.dedup_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-copies."""
+    return simhash.keep_one(docs).select(*docs.columns)
+
+
+def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark passage."""
+    return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), clean_only=True)
+
+
+def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode each text into piece ids; ``text`` is what they decode to."""
+    out = pieces.encode_texts(docs)
+    names = [F.col("_decoded").alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*names, F.col("_ids").alias("piece_ids"), F.size("_ids").cast("long").alias("n_pieces"), F.col("_exact").alias("exact"))
+
+
+STAGES = [
+    ("language", stage_language),
+    ("lines", stage_lines),
+    ("near_copies", stage_near_copies),
+    ("benchmark", stage_benchmark),
+    ("pieces", stage_pieces),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``, each written to shared storage and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

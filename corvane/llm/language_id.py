@@ -1,7 +1,7 @@
 """Operator 1, language ID: nearest centroid over normalised TF-IDF n-gram vectors.
 
-A text's vector holds its byte n-grams (one to three bytes of the lower-cased text, hashed to ``DIM`` places) as
-log counts times inverse document frequency, at length one. Every language has several centroids, found by
+A text's vector holds its byte n-grams (one to three bytes of the lower-cased words, hashed to ``DIM`` places; ASCII
+digits and marks only part words) as log counts times inverse document frequency, at length one. Every language has several centroids, found by
 spherical k-means on its training texts; a text takes the language of the centroid with the largest cosine, and is
 rejected if that cosine lies under the language's bound, which is learned from training texts left out of the
 centroids. The score is the winner's share in a softmax over the languages' best cosines, at a temperature fitted
@@ -28,13 +28,15 @@ from .common import crc_mod, map_arrow, table, with_columns
 
 DIM, CENTROIDS, PER_LANGUAGE = 4096, 4, 400
 #: A text is rejected if its cosine is under this share of the language's lowest left-out hundredth.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
+_WORDS = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of a whole text."""
-    b = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    b = np.frombuffer(b" %b " % b" ".join(words), np.uint8).astype(np.uint32)
     out = np.zeros(DIM, np.int64)
     key = np.zeros(len(b), np.uint32)
     for n in range(1, 4):
