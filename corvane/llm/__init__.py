@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import decontaminate, fingerprints, language_id, line_dedup, pieces, sharding, simhash
+    from . import decontaminate, fingerprints, language_id, line_dedup, pieces, sharding, simhash, toxicity
 
-    return (language_id, pieces, fingerprints, simhash, line_dedup, decontaminate, sharding)
+    return (language_id, pieces, fingerprints, simhash, toxicity, line_dedup, decontaminate, sharding)
 
 
 def queries() -> dict:
