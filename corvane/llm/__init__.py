@@ -8,9 +8,20 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import decontaminate, fingerprints, language_id, line_dedup, pieces, sharding, simhash, toxicity
-
-    return (language_id, pieces, fingerprints, simhash, toxicity, line_dedup, decontaminate, sharding)
+    from . import (
+        decontaminate,
+        fingerprints,
+        language_id,
+        line_dedup,
+        lm_score,
+        pieces,
+        sharding,
+        simhash,
+        toxicity,
+        warc,
+    )
+
+    return (language_id, pieces, lm_score, fingerprints, simhash, toxicity, line_dedup, warc, decontaminate, sharding)
 
 
 def queries() -> dict:

@@ -18,6 +18,7 @@ counts as the empty string; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .common import ascii_lower_bytes, free_shuffles, map_arrow, materialise, shared_path, table
 
 #: Tokens in a block.
@@ -90,26 +92,6 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), unsmall(counts), unsmall(held)
 
 
-def _write(path: str, data: bytes) -> None:
-    """Put a file in shared storage in one step; a repeated task writes the same bytes."""
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    draft = f"{name}.{xxhash.xxh3_64_hexdigest(data)}-{np.random.randint(1 << 30)}"
-    with store.open_output_stream(draft) as out:
-        out.write(data)
-    store.move(draft, name)
-
-
-def _read(path: str) -> bytes:
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    with store.open_input_stream(name) as f:
-        return f.read()
-
-
 class Block:
     """Documents on their way to a block."""
 
@@ -191,7 +173,9 @@ def count_corpus(docs: DataFrame, root: str, parts: int) -> DataFrame:
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
             stored = [sink.getvalue().to_pybytes(), kinds.astype(np.int8).tobytes(), lengths.astype("<i8").tobytes(), words.astype("<i4").tobytes(), hashes.astype("<u8").tobytes()]
-            _write(f"{root}/block-{name}", _join(*[zlib.compress(x, 1) for x in stored]))
+            data = _join(*[zlib.compress(x, 1) for x in stored])
+            # a repeated task writes the same bytes to the same place
+            storage.replace(f"{root}/block-{name}", data, f".{uuid.uuid4().hex}")
             for kind, keys, n, h in _asks(hashes, words, lengths, kinds):
                 cuts = np.searchsorted(keys, _bounds(parts))
                 for p in range(parts):
@@ -241,7 +225,7 @@ class Counted:
     """A block together with its counts."""
 
     def __init__(self, root: str, name: str, parts: list[int], answers: list[bytes]):
-        stored = [zlib.decompress(x) for x in _parts(_read(f"{root}/block-{name}"))]
+        stored = [zlib.decompress(x) for x in _parts(storage.read(f"{root}/block-{name}"))]
         self.ids = pa.ipc.open_stream(stored[0]).read_all().column("id")
         self.kinds = np.frombuffer(stored[1], np.int8)
         lengths, words, hashes = np.frombuffer(stored[2], "<i8"), np.frombuffer(stored[3], "<i4"), np.frombuffer(stored[4], "<u8")
