@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_arrow, table, with_columns
 
 DECAY, SPAN, CODES, BITS = 0.6, 7, 64, 20
-PER_LABEL, LANDMARKS, CLEAN_UNITS, THRESHOLD = 4000, 256, 8000, 0.7
-#: Units whose value a task remembers.
-CACHE = 400_000
+PER_LABEL, LANDMARKS, CLEAN_UNITS, THRESHOLD = 2000, 256, 8000, 0.7
+#: Units whose value a task remembers, and units that are worked on at once.
+CACHE, CHUNK = 400_000, 8192
 _MARKS = {c: None for c in range(33, 127) if not chr(c).isalnum()}
 #: Offsets of the further characters of a subsequence of three or four.
 _SHAPES = [x for n in (2, 3) for x in combinations(range(1, SPAN), n)]
@@ -84,6 +84,8 @@ def _occurrences(units: list[str]):
 
 def scores(units: list[str], weights: np.ndarray) -> np.ndarray:
     """Value of each unit: its kernel-weighted sum, without the bias."""
+    if len(units) > CHUNK:
+        return np.concatenate([scores(units[at : at + CHUNK], weights) for at in range(0, len(units), CHUNK)])
     total = np.zeros(len(units))
     parts, norm = _occurrences(units)
     for owner, feature, w in parts:
@@ -192,9 +194,8 @@ class ToxicityModel:
             known.clear()
         units = [units_of(t) for t in texts]
         new = list({u for us in units for u in us} - known.keys())
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            known.update(zip(part, (scores(part, self.weights) + self.bias).tolist(), strict=True))
+        if new:
+            known.update(zip(new, (scores(new, self.weights) + self.bias).tolist(), strict=True))
         top = np.array([max(map(known.__getitem__, us), default=-3.0) for us in units])
         return (1 / (1 + np.exp(-np.clip(self.slope * top + self.offset, -30, 30)))).tolist()
 
@@ -225,7 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
             units = [sorted(set(units_of(t))) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.list_(pa.string())), batch.column(1)], names=["units", "y"])
 
-    texts = sorted((r.units, r.y) for r in map_arrow(drawn, split, "units array<string>, y int").toLocalIterator())
+    names: dict[str, str] = {}  # one copy of each unit
+    rows = map_arrow(drawn, split, "units array<string>, y int").toLocalIterator()
+    texts = sorted(([names.setdefault(u, u) for u in r.units], r.y) for r in rows)
     return ToxicityModel(texts)
 
 
