@@ -31,7 +31,7 @@ from . import storage
 from .common import ascii_lower_bytes, free_shuffles, map_arrow, materialise, shared_path, table
 
 #: Tokens in a block.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 BUCKETS, EM_ROUNDS = 24, 40
 #: Bins of the log ratios between estimates, four to a factor of two, from -40 to 40 powers of two.
 RATIO_BINS = 320
@@ -119,14 +119,14 @@ class Block:
 def _tokens_of(words: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token, its context (n_words: start; n_words + 1: end) and its document."""
     ends = np.cumsum(lengths) - 1
-    token = np.empty(int(lengths.sum()), np.int64)
+    token = np.empty(int(lengths.sum()), np.int32)
     inner = np.ones(len(token), bool)
     inner[ends] = False
     token[inner], token[ends] = words, n_words + 1
     context = np.empty_like(token)
     context[1:] = token[:-1]
     context[ends - lengths + 1] = n_words
-    return token, context, np.repeat(np.arange(len(lengths)), lengths)
+    return token, context, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
 
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -141,14 +141,16 @@ def _asks(hashes, words, lengths, kinds):
     """What a block asks for: for words (0) and pairs (1) the sorted hashes with the block's own counts."""
     token, context, doc = _tokens_of(words, lengths, len(hashes) - 2)
     kind = kinds[doc]
-    counted, held = (kind > 0).astype(np.int64), (kind == 2).astype(np.int64)
+    counted, held = (kind > 0).astype(np.int32), (kind == 2).astype(np.int32)
     n = np.bincount(token, counted, minlength=len(hashes)).astype(np.int64)
     h = np.bincount(token, held, minlength=len(hashes)).astype(np.int64)
     n[-2], h[-2] = (kinds > 0).sum(), (kinds == 2).sum()  # the start, as a context
     yield 0, *_sums(hashes, n, h)
     # pairs by their block numbers first: half as much to sort as by hash
-    pairs = context * len(hashes) + token
+    pairs = context.astype(np.int64) * len(hashes) + token
+    del token, context, doc, kind
     pairs, n, h = _sums(pairs, counted, held)
+    del counted, held
     keys = pair_hash(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
     yield 1, *_sums(keys, n, h)
 
@@ -197,9 +199,10 @@ def count_corpus(docs: DataFrame, root: str, parts: int) -> DataFrame:
     def answer(key: tuple, part: pa.Table) -> pa.Table:
         kind = key[0].as_py() % 2
         blobs = [unpack(b) for b in part.column("blob").to_pylist()]
-        keys, n, h = _sums(np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]), np.concatenate([b[2] for b in blobs]))
+        keys, n, h = _sums(*[np.concatenate([b[k] for b in blobs]) for k in range(3)])
+        blobs = [b[0] for b in blobs]
         out = {"block": [], "part": [], "answer": []}
-        for name, (own, _, _) in zip(part.column("block").to_pylist(), blobs, strict=True):
+        for name, own in zip(part.column("block").to_pylist(), blobs, strict=True):
             at = np.searchsorted(keys, own)
             out["block"].append(name)
             out["answer"].append(_join(small(n[at]), small(h[at])))
@@ -237,7 +240,7 @@ class Counted:
         rank = np.unique(hashes, return_inverse=True)[1]
         self.word_n, self.word_h = (x[rank] for x in got[0])
         token, context, doc = _tokens_of(words, lengths, len(hashes) - 2)
-        pairs, inverse = np.unique(context * len(hashes) + token, return_inverse=True)
+        pairs, inverse = np.unique(context.astype(np.int64) * len(hashes) + token, return_inverse=True)
         rank = np.unique(pair_hash(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]), return_inverse=True)[1]
         self.pair_n, self.pair_h = (x[rank] for x in got[1])
         self.pairs, self.pair_of = pairs, inverse
@@ -284,7 +287,7 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     part = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % learn
     held = (skip + 1) % learn
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(part == skip, 0).when(part == held, 2).otherwise(1).alias("kind"), F.col(text).alias("text"))
-    parts, root = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, "lm-blocks")
+    parts, root = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, "lm-blocks")
     counts = count_corpus(source, root, parts)
     free_shuffles(spark)
     sums = np.zeros(4, np.int64)
