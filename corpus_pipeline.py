@@ -7,39 +7,57 @@ through as an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, language_id, line_dedup, pieces, simhash
 from corvane.llm.common import shared_path, table
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns as one, so that no name of theirs meets a name that an operator uses."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("rest") if rest else F.lit(None).alias("rest"))
+
+
+def unpack(rows: DataFrame, docs: DataFrame, **put: Column) -> list[Column]:
+    """The columns of ``docs`` out of packed rows; ``put`` replaces some."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")} | put
+    return [(own[c] if c in own else F.col("rest").getField(c)).alias(c) for c in docs.columns]
+
+
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is rejected."""
-    return language_id.identify(docs, language_id.train(docs, F.lit(True)), accepted_only=True)
+    model = language_id.train(docs, F.lit(True))
+    out = language_id.identify(pack(docs), model, accepted_only=True)
+    return out.select(*unpack(out, docs))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that many documents repeat; documents stay, with what is left of their text."""
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = line_dedup.dedup_lines(pack(docs)).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.select(*unpack(out, docs, **size))
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-copies."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    out = simhash.keep_one(pack(docs))
+    return out.select(*unpack(out, docs))
 
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
-    return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), clean_only=True)
+    out = decontaminate.find_items(pack(docs), table(spark, sf_dir, "benchmark"), clean_only=True)
+    return out.select(*unpack(out, docs))
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode each text into piece ids; ``text`` is what they decode to."""
-    out = pieces.encode_texts(docs)
-    names = [F.col("_decoded").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*names, F.col("_ids").alias("piece_ids"), F.size("_ids").cast("long").alias("n_pieces"), F.col("_exact").alias("exact"))
+    out = pieces.encode_texts(pack(docs))
+    own = {c.lower() for c in docs.columns}
+    added = {"piece_ids": F.col("_ids"), "n_pieces": F.size("_ids").cast("long"), "exact": F.col("_exact")}
+    return out.select(*unpack(out, docs, text=F.col("_decoded")), *[v.alias(k) for k, v in added.items() if k not in own])
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shipping import ship
 
@@ -93,7 +94,7 @@ def skew_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total:
     return out.select(*[F.col(c) for c in rows.columns], *[picked[c].alias(c) for c in values])
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches small enough that very long texts stay in memory."""
     ship(df.sparkSession)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -102,7 +103,14 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def with_columns(df: DataFrame, added: str) -> str:
-    """The schema of ``df`` as DDL, with ``added`` behind it."""
-    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return f"{own}, {added}" if added else own
+def with_columns(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` with the columns of the DDL string ``added`` behind it."""
+    return StructType([*df.schema.fields, *(StructType.fromDDL(added).fields if added else [])])
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, made longer until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

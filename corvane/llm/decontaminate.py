@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, with_columns
+from .common import free_name, map_arrow, table, with_columns
 
 WINDOW = 10
 #: UTF-8 bytes of item text in one block; a task holds one block at a time.
@@ -109,7 +109,8 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     sc = docs.sparkSession.sparkContext
     blocks = [(b, sc.broadcast(_rarity(docs, text, b))) for b in _item_blocks(items, item_id, item_text)]
     names = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    body = free_name(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body))
 
     def scan(batches):
         index, held = None, -1
@@ -132,7 +133,7 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
             ]
             yield pa.RecordBatch.from_arrays([*own, *added], names=[*names, "_n_words", "_n_hit", "_items"])
 
-    return map_arrow(source, scan, with_columns(source.drop("_text"), "" if clean_only else ADDED))
+    return map_arrow(source, scan, with_columns(source.drop(body), "" if clean_only else ADDED))
 
 
 def items_digest(ids: list[int]) -> str:

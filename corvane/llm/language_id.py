@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, table, with_columns
+from .common import crc_mod, free_name, map_arrow, table, with_columns
 
 DIM, CENTROIDS, PER_LANGUAGE = 4096, 4, 400
 #: A text is rejected if its cosine is under this share of the language's lowest left-out hundredth.
@@ -155,7 +155,8 @@ def identify(docs: DataFrame, model: Centroids | None, text: str = "text", keep:
     rows that are not rejected, without those columns."""
     names = docs.columns if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"))
+    body = free_name(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(body))
 
     def scan(batches):
         for batch in batches:
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, model: Centroids | None, text: str = "text", keep:
             added = [pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64()), pa.array([t[2] for t in told], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*own, *added], names=[*names, "_lang_pred", "_score", "_rejected"])
 
-    return map_arrow(source, scan, with_columns(source.drop("_text"), "" if accepted_only else ADDED))
+    return map_arrow(source, scan, with_columns(source.drop(body), "" if accepted_only else ADDED))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

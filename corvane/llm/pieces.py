@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, with_columns
+from .common import free_name, map_arrow, table, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -142,7 +142,8 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str = MODEL, keep: l
     ``_n_pieces`` and SHA-256 digests of ids and decoded text in place of the first two."""
     names = docs.columns if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(read_pieces(path))
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"))
+    body = free_name(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(body))
     added = "_n_pieces long, _ids_sha256 string, _decoded_sha256 string, _exact boolean" if digests else "_ids array<int>, _decoded string, _exact boolean"
 
     def scan(batches):
@@ -165,7 +166,7 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str = MODEL, keep: l
                 out.append(pa.array([a == b for a, b in zip(part, back, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*own, *out], names=[*names, *fields, "_exact"])
 
-    return map_arrow(source, scan, with_columns(source.drop("_text"), added))
+    return map_arrow(source, scan, with_columns(source.drop(body), added))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_bytes, free_shuffles, map_arrow, materialise, remove, skew_join, table
+from .common import ascii_lower_bytes, free_name, free_shuffles, map_arrow, materialise, remove, skew_join, table
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints at home in a shard, and those sampled for vantage points.
@@ -233,8 +233,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     source = docs.select(rank.alias("rank"), F.col(text).alias("_body"))
     fps = materialise(fingerprint_docs(source, ["rank"], "_body", shingle), "document-fingerprints")
     grouped = group_fingerprints(fps, "rank", radius)
-    kept = grouped.filter(F.col("rank") == F.col("first")).select(F.unhex(F.col("rank.row")).alias("_row")).distinct()
-    return docs.withColumn("_row", row).join(materialise(kept, "kept"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    name = free_name(docs, "_row")
+    kept = grouped.filter(F.col("rank") == F.col("first")).select(F.unhex(F.col("rank.row")).alias(name)).distinct()
+    return docs.withColumn(name, row).join(materialise(kept, "kept"), name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

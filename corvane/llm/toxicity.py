@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, table, with_columns
+from .common import crc_mod, free_name, map_arrow, table, with_columns
 
 DECAY, SPAN, CODES, BITS = 0.6, 7, 64, 20
 PER_LABEL, LANDMARKS, CLEAN_UNITS, THRESHOLD = 2000, 256, 8000, 0.7
@@ -236,7 +236,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", keep:
     """``docs`` (the columns ``keep``, or all) and ``_score``."""
     names = docs.columns if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"))
+    body = free_name(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(body))
 
     def scan(batches):
         known: dict[str, float] = {}
@@ -245,7 +246,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", keep:
             found = [s for at in range(0, len(texts), 256) for s in held.value.predict(texts[at : at + 256], known)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(found, pa.float64())], names=[*names, "_score"])
 
-    return map_arrow(source, scan, with_columns(source.drop("_text"), "_score double"))
+    return map_arrow(source, scan, with_columns(source.drop(body), "_score double"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
