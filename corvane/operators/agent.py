@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import settle
 
 ANSWERED, ASK = "AUTO_RESOLVER", "PEDIR_INFO"
 
@@ -46,7 +47,7 @@ def run(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], refine:
     good = F.col("context_found") & (F.col("confidence") >= bar)
     for attempt in range(max(0, max_refine) + 1):
         told = answer(left.select("query_id", F.col("asked").alias("question"))).select("query_id", "answer", "context_found", "confidence")
-        told = left.join(told, "query_id", "left").fillna({"context_found": False, "confidence": 0.0}).persist()
+        told = settle(left.join(told, "query_id", "left").fillna({"context_found": False, "confidence": 0.0}), "agent-round")
         row = lambda df, n, action: df.select("query_id", "question", "answer", "context_found", "confidence", F.lit(n).alias("refine_attempts"), F.lit(action).alias("action"))
         done.append(row(told.filter(good), attempt, ANSWERED))
         short = told.filter(~good)

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.models import embed_texts
 from ..functions.ontology import Ontology
 from ..operators import chunking, index
+from ..shared import settle
 from ..sources import files, tables
 
 
@@ -50,7 +51,7 @@ def update(spark: SparkSession, folder: str, path: str, settings: Settings | Non
         return {"new": files.scan(spark, folder).count()}
     found = files.scan(spark, folder)
     manifest = spark.read.parquet(f"{path}/v{now}/manifest")
-    status = tables.diff(found.select(F.col("source").alias("source_file"), "file_hash"), manifest).persist()
+    status = settle(tables.diff(found.select(F.col("source").alias("source_file"), "file_hash"), manifest), "status")
     counts = {r.status: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
     if set(counts) <= {"unchanged"}:
         return counts

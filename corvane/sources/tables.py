@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import settle
+
 CHUNKS = "id int, source_file string, chunk_text string, faiss_index long, created_at timestamp"
 MANIFEST = "id int, source_file string, file_hash string, processed_at timestamp"
 
@@ -38,7 +40,8 @@ def number_rows(df: DataFrame, order: list[str], name: str = "faiss_index", star
     """Gapless numbers in ``order`` without one task that holds all rows: rows are range-sorted, a row's number is its
     place in its task plus the rows of earlier tasks."""
     spark = df.sparkSession
-    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = settle(placed, "numbered")
     sizes = placed.groupBy(F.shiftright("_at", 33).alias("_task")).agg(F.count("*").alias("_n")).collect()  # a row a task
     base, rows = start, []
     for r in sorted(sizes, key=lambda r: r["_task"]):
