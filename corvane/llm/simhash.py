@@ -10,6 +10,11 @@ splits go on until few points are left, which are compared in full.
 A shard returns a spanning forest of its links, never all pairs, and the forests are joined into components by
 alternating large-star and small-star steps over tables in shared storage.
 
+:func:`keep_one`, for documents of a stated similarity, uses the same tree. A 64-bit fingerprint of the different words
+moves little when a few words change; pairs within two bits in either half of it (so all within five bits) are
+candidates, found by a tree over each half, and linked if 256-bit SimHashes of their different five-word shingles are
+as close as texts of that similarity are.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle are one
 shingle; null ids never become a component's id unless it has no other; repeated rows get a row each; an empty table
 gives an empty result; other columns are ignored.
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_bytes, free_name, free_shuffles, map_arrow, materialise, remove, skew_join, table
+from .common import ascii_lower_bytes, free_name, free_shuffles, map_arrow, materialise, remove, skew_join, table, with_columns
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints at home in a shard, and those sampled for vantage points.
@@ -60,6 +65,34 @@ def fingerprint_docs(docs: DataFrame, keep: list[str], text: str = "text", shing
     return map_arrow(source, scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", fp long")
 
 
+#: Bits of a wide sketch, in numbers of 64.
+WIDE = 4
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the rows of (n, k) numbers, as k numbers."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes, ">u8").view(np.uint8).reshape(len(hashes), -1), axis=1)
+    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def wide_simhash(text: str | None, shingle: int) -> tuple[int, bytes]:
+    """Fingerprint of the different words, and the sketch of the different shingles."""
+    words, digest = (ascii_lower_bytes(text).split() if text else []), xxhash.xxh64_intdigest
+    if not words:
+        return 0, bytes(8 * WIDE)
+    own = np.array([digest(w, SEED) for w in set(words)], np.uint64)
+    cut = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    h = np.array([digest(x, SEED) for x in cut], np.uint64)[:, None] * _MIX[None, :]
+    return int(_majority(own[:, None])[0]), _majority(h ^ (h >> np.uint64(31)) * _MIX[::-1]).astype("<u8").tobytes()
+
+
+def sketch_bits(similarity: float) -> int:
+    """The distance of sketches that texts of this similarity (Jaccard) have, and a little over a deviation more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(64 * WIDE * share + 1.25 * np.sqrt(64 * WIDE * share * (1 - share)))
+
+
 def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ vantage).astype(np.int16)
 
@@ -114,8 +147,9 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, b, a)
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """For each point the index of its root among the points that links with home points connect."""
+def link_shard(points: np.ndarray, home: np.ndarray, radius: int, sketches: np.ndarray | None = None, bits: int = 0) -> np.ndarray:
+    """For each point the index of its root among the points that links with home points connect. With ``sketches``
+    (rows of numbers) a link needs them to be within ``bits`` as well."""
     parent = np.arange(len(points))
 
     def compare(own: np.ndarray, ask: np.ndarray) -> None:
@@ -123,7 +157,12 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
         for at in range(0, len(ask), step):
             part = ask[at : at + step]
             i, j = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[own][None, :]) <= radius)
-            _union(parent, part[i], own[j])
+            a, b = part[i], own[j]
+            if sketches is not None:
+                a, b = a[a != b], b[a != b]
+                near = np.concatenate([np.bitwise_count(sketches[a[k : k + 65536]] ^ sketches[b[k : k + 65536]]).sum(axis=1) <= bits for k in range(0, len(a), 65536)] or [np.empty(0, bool)])
+                a, b = a[near], b[near]
+            _union(parent, a, b)
 
     stack = [(np.flatnonzero(home), np.arange(len(points)))]
     while stack:
@@ -151,14 +190,47 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
         parent = up
 
 
-def vp_links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """Edges (a, b) that connect what links within ``radius`` among distinct ``fp``; at most one a shard and point."""
+def _tree_of(points: DataFrame, value, shard_points: int):
+    """A tree over a bounded sample of a long column's values."""
     n = points.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_points))))
     share = min(1.0, TREE_SAMPLE / max(1, n))
     drawn = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))) if depth else points.limit(0)
-    sample = np.array(sorted(r.fp for r in drawn.select("fp").toLocalIterator()), np.int64).view(np.uint64)
-    tree = build_tree(sample, depth)
+    sample = np.array(sorted(r.v for r in drawn.select(value.alias("v")).toLocalIterator()), np.int64).view(np.uint64)
+    return build_tree(sample, depth)
+
+
+def similar_links(points: DataFrame, bits: int, shard_points: int = 4 * SHARD_POINTS) -> DataFrame:
+    """Edges (a, b) among distinct points ``fp`` (a name), ``word`` (fingerprint of words) and ``sketch``."""
+    out = None
+    for shift in (0, 32):
+        half = F.shiftrightunsigned("word", shift).bitwiseAND(F.lit((1 << 32) - 1))
+        tree = _tree_of(points, half, shard_points)
+
+        def deal(batches, tree=tree):
+            for batch in batches:
+                halves = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                shard, index, home = route(tree, halves.view(np.uint64), RADIUS)
+                at = pa.array(index)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(home)], names=["shard", "fp", "half", "sketch", "home"])
+
+        def link(part: pa.Table) -> pa.Table:
+            order = part.sort_by([("fp", "ascending"), ("home", "descending")])
+            fps = order.column("fp").to_numpy().astype(np.int64)
+            sketches = np.frombuffer(b"".join(order.column("sketch").to_pylist()), "<u8").reshape(-1, WIDE)
+            root = link_shard(order.column("half").to_numpy().astype(np.uint64), order.column("home").to_numpy(), RADIUS, sketches, bits)
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            return pa.table({"a": pa.array(fps[tied]), "b": pa.array(fps[root[tied]])})
+
+        dealt = map_arrow(points.select("fp", half.alias("half"), "sketch"), deal, "shard long, fp long, half long, sketch binary, home boolean")
+        edges = dealt.groupBy("shard").applyInArrow(link, "a long, b long")
+        out = edges if out is None else out.unionByName(edges)
+    return out
+
+
+def vp_links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """Edges (a, b) that connect what links within ``radius`` among distinct ``fp``; at most one a shard and point."""
+    tree = _tree_of(points, F.col("fp"), shard_points)
 
     def deal(batches):
         for batch in batches:
@@ -209,10 +281,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def group_fingerprints(rows: DataFrame, rank: str, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """``rows`` (with ``fp``; a written table) with ``first``, the least ``rank`` of its component."""
-    points = materialise(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(rank).alias("least")), "fingerprints")
-    edges = materialise(vp_links(points, radius, shard_points), "links")
+def group_fingerprints(rows: DataFrame, rank: str, radius: int = RADIUS, shard_points: int = SHARD_POINTS, links=None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (with ``fp``; a written table) with ``first``, the least ``rank`` of its component. ``links`` makes edges
+    of the distinct points, which have the columns ``carry`` as well; by default :func:`vp_links`."""
+    own = [F.first(c).alias(c) for c in carry]
+    points = materialise(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(rank).alias("least"), *own), "fingerprints")
+    edges = materialise(links(points) if links else vp_links(points, radius, shard_points), "links")
     roots = components(edges)
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "roots")
@@ -223,16 +297,27 @@ def group_fingerprints(rows: DataFrame, rank: str, radius: int = RADIUS, shard_p
     for x in (points, edges, rooted):
         remove(x)
     free_shuffles(rows.sparkSession)
+    rows = rows.drop(*carry)
     return skew_join(rows, named, "fp", "n", docs or 0, F.xxhash64(*[c for c in rows.columns if c != "fp"]))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group left: the smallest id, and of rows that repeat it, one."""
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of texts whose word shingles are similar: the smallest id, and of rows
+    that repeat it, one."""
     row = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit("")))))
     rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.hex(row).alias("row"))
     source = docs.select(rank.alias("rank"), F.col(text).alias("_body"))
-    fps = materialise(fingerprint_docs(source, ["rank"], "_body", shingle), "document-fingerprints")
-    grouped = group_fingerprints(fps, "rank", radius)
+
+    def scan(batches):
+        for batch in batches:
+            told = [wide_simhash(t, shingle) for t in batch.column(1).to_pylist()]
+            word = np.array([w for w, _ in told], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(word), pa.array([x for _, x in told], pa.binary())], names=["rank", "word", "sketch"])
+
+    schema = with_columns(source.drop("_body"), "word long, sketch binary")
+    rows = materialise(map_arrow(source, scan, schema).withColumn("fp", F.xxhash64("word", "sketch")), "document-sketches")
+    bits = sketch_bits(similarity)
+    grouped = group_fingerprints(rows, "rank", links=lambda points: similar_links(points, bits), carry=("word", "sketch"))
     name = free_name(docs, "_row")
     kept = grouped.filter(F.col("rank") == F.col("first")).select(F.unhex(F.col("rank.row")).alias(name)).distinct()
     return docs.withColumn(name, row).join(materialise(kept, "kept"), name, "left_semi").dropDuplicates([name]).drop(name)

@@ -190,6 +190,35 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 9]
 
 
+def test_keep_one_of_similar(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base = [[word() for _ in range(300)] for _ in range(40)]
+    docs, clean = [], []
+    for k, words in enumerate(base):
+        docs.append((k, " ".join(words)))
+        edited = list(words)
+        for at in rng.integers(0, 300, 2):
+            edited[at] = word()
+        docs.append((100 + k, " ".join(edited)))
+        clean.append((200 + k, " ".join([word() for _ in range(150)] + words[:150])))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs + clean, "doc_id long, text string")).collect()}
+    assert {i for i, _ in clean} <= got and set(range(40)) <= got
+    assert len(got & set(range(100, 140))) <= 3
+
+
+def test_half_links_match_brute_force(spark):
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 62, 120).tolist()
+    words += [w ^ (1 << int(rng.integers(0, 62))) ^ (1 << int(rng.integers(0, 62))) for w in words]
+    sketch = [rng.integers(0, 1 << 62, 4).astype("<u8") for _ in range(120)]
+    sketch += [x ^ np.array([7, 0, 1, 0], "<u8") for x in sketch[:60]] + [rng.integers(0, 1 << 62, 4).astype("<u8") for _ in range(60)]
+    df = spark.createDataFrame([(i, w, bytearray(x.tobytes())) for i, (w, x) in enumerate(zip(words, sketch, strict=True))], "fp long, word long, sketch binary")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.similar_links(df, 40, shard_points=32).collect()}
+    want = {(i, i + 120) for i in range(60)}
+    assert got == want
+
+
 def test_toxicity_fixture():
     rng = np.random.default_rng(5)
     syllables = ["re", "ta", "no", "li", "su", "ba", "ke", "mo"]
