@@ -22,3 +22,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this package has written to the shared folder; results not yet read are lost with it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/corvane")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
