@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shared import shared_path
 from ..shipping import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,18 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``).
-
-    Only where that setting is unset (a single-machine session, as in tests) a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/corvane/{label}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage and read it back: the lineage is cut and a lost executor loses nothing."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
@@ -73,6 +59,20 @@ def crc_mod(c: Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def draw(rows: DataFrame, by: str, key: str, bound: int) -> DataFrame:
+    """At most ``bound`` rows of each value of ``by``, drawn by a hash of ``key``; of a model's classes, so few values.
+
+    The classes' counts give each a share of the hash range that holds about twice the bound, so what is ranked in one
+    place doesn't grow with the rows or the tasks.
+    """
+    place, chosen = F.pmod(F.xxhash64(key), F.lit(1 << 30)), F.lit(False)
+    for value, n in rows.groupBy(by).count().collect():
+        share = min(1 << 30, -(-2 * bound * (1 << 30) // n))
+        chosen = chosen | ((F.col(by) == F.lit(value)) & (place < share))
+    ranked = rows.filter(chosen).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key), key)))
+    return ranked.filter(F.col("_n") <= bound).drop("_n")
+
+
 def skew_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:
     """Left-join ``rows`` with ``lookup`` (unique ``key``; other columns new) where keys may be hot.
 

@@ -21,10 +21,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, free_name, map_arrow, table, with_columns
+from .common import crc_mod, draw, free_name, map_arrow, table, with_columns
 
 DIM, CENTROIDS, PER_LANGUAGE = 4096, 4, 400
 #: A text is rejected if its cosine is under this share of the language's lowest left-out hundredth.
@@ -121,8 +121,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Centroids | None:
     """Fit on at most ``per_language`` rows a language where ``learn`` holds."""
     ids = docs.filter(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
-    draw = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = ids.withColumn("_n", F.row_number().over(draw)).filter(F.col("_n") <= per_language)
+    ids = draw(ids, "_lang", "_id", per_language)
 
     def vectors(batches):
         for batch in batches:
