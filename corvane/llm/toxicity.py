@@ -24,10 +24,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, free_name, map_arrow, table, with_columns
+from .common import crc_mod, draw, free_name, map_arrow, table, with_columns
 
 DECAY, SPAN, CODES, BITS = 0.6, 7, 64, 20
 PER_LABEL, LANDMARKS, CLEAN_UNITS, THRESHOLD = 2000, 256, 8000, 0.7
@@ -217,7 +217,7 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.n
 def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
     """Fit on at most ``per_label`` labelled texts a label among the labels rows where ``learn`` holds."""
     rows = labels.filter(learn & F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), (F.col(toxic) > 0).cast("int").alias("_y"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id"))).filter(F.col("_n") <= per_label)
+    rows = draw(rows, "_y", "_id", per_label)
     # at most per_label rows a label: a size that the parameter bounds
     drawn = docs.join(F.broadcast(rows), F.col(doc_id) == F.col("_id")).select(F.col(text), "_y")
 
