@@ -374,7 +374,16 @@ def sentence_rank(spark, d):
     return A.top_sentences(rows)
 
 
-@query()
+_SET = lambda c: f"list_distinct(list_filter(regexp_split_to_array({_fold(c)}, '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""
+with {_HYBRID}, rw as (
+  select c.query_id, doc_id, place, {_SET('b.text')} as qw, {_SET('c.text')} as tw from capped c join benchmark b on b.item_id = c.query_id where place <= {S.rerank_candidates}),
+s as (select query_id, doc_id, place, len(list_intersect(qw, tw))::double / len(qw) as score from rw)
+select query_id, doc_id, round(score, 6) as score, final_rank from (select *, row_number() over (partition by query_id order by score desc, place, doc_id)::int as final_rank from s)
+where final_rank <= {S.rerank_top_k}
+""")
 def rerank_top(spark, d):
     rows = _capped(spark, d).join(asked(spark, d), "query_id")
     from ..functions.models import overlap_scorer
