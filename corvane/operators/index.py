@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -26,20 +27,17 @@ class LexicalIndex:
         for name in ("doc_len", "term_stats", "corpus"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
-    def persist(self) -> LexicalIndex:
-        """Keep the tables while several plans read them."""
-        return LexicalIndex(*[getattr(self, f.name).persist() for f in dataclasses.fields(self)])
-
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
         return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_len", "term_stats", "corpus")])
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
-    """Corpus statistics by one explode; counts combine before they are shuffled."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), T.bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("ws"))
+    """Corpus statistics by one explode; counts combine before they are shuffled. Tokens and postings are written, as
+    several of the tables are made from them."""
+    words = settle(docs.select(F.col(doc_id).alias("doc_id"), T.bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("ws")), "tokens")
     doc_len = words.select("doc_id", F.size("ws").alias("dl"))
-    postings = words.select("doc_id", F.explode("ws").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    postings = settle(words.select("doc_id", F.explode("ws").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "postings")
     corpus = doc_len.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(corpus)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
