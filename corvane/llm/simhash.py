@@ -11,9 +11,12 @@ A shard returns a spanning forest of its links, never all pairs, and the forests
 alternating large-star and small-star steps over tables in shared storage.
 
 :func:`keep_one`, for documents of a stated similarity, uses the same tree. A 64-bit fingerprint of the different words
-moves little when a few words change; pairs within two bits in either half of it (so all within five bits) are
-candidates, found by a tree over each half, and linked if 256-bit SimHashes of their different five-word shingles are
-as close as texts of that similarity are.
+moves little when a few words change; pairs within two bits in either half of it (so all within five bits), found by
+a tree over each half, are candidates if 256-bit SimHashes of their different five-word shingles are as close as texts
+of that similarity are. Texts that gain or lose a passage move that fingerprint further, so pairs that share one of
+``BANDS`` keys, each of ``BAND_ROWS`` least hashes of the shingles, are candidates as well: a pair of similarity s is
+missed with a chance of ``(1 - s**BAND_ROWS)**BANDS``. What candidates connect meets in one place (in pairs of blocks,
+where it is much), and every pair there links only if the exact Jaccard similarity of its shingles is high enough.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle are one
 shingle; null ids never become a component's id unless it has no other; repeated rows get a row each; an empty table
@@ -87,6 +90,62 @@ def wide_simhash(text: str | None, shingle: int) -> tuple[int, bytes]:
     return int(_majority(own[:, None])[0]), _majority(h ^ (h >> np.uint64(31)) * _MIX[::-1]).astype("<u8").tobytes()
 
 
+#: Keys of a text's least shingle hashes, and hashes a key.
+BANDS, BAND_ROWS = 30, 6
+#: Points that are compared with each other at once.
+BLOCK = 2048
+_TURN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different shingles; texts shorter than a shingle are one, texts without a word have none."""
+    words, digest = (ascii_lower_bytes(text).split() if text else []), xxhash.xxh64_intdigest
+    cut = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.sort(np.array([digest(x, SEED) for x in cut], np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of the least hashes; no keys without a shingle."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1024):
+        h = (shingles[at : at + 1024, None] ^ _TURN[1]) * _TURN[0]
+        least = np.minimum(least, (h ^ (h >> np.uint64(29))).min(axis=0))
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
+
+
+def jaccard_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the index of its root among those that pairs of at least this Jaccard similarity connect."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    names, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    mark, parent = np.zeros(len(names), bool), np.arange(len(sets))
+    for i in range(len(sets)):
+        if not size[i]:
+            continue
+        # no set larger than this can be similar enough to a set of this size
+        after = np.arange(i + 1, np.searchsorted(size, size[i] / similarity + 1e-9, "right"))
+        after = after[parent[after] != parent[i]]
+        if not len(after):
+            continue
+        mark[ids[begin[i] : begin[i + 1]]] = True
+        if 4 * len(after) > after[-1] - i:
+            common = np.add.reduceat(mark[ids[begin[i + 1] : begin[after[-1] + 1]]], begin[i + 1 : after[-1] + 1] - begin[i + 1], dtype=np.int64)[after - i - 1]
+        else:
+            common = np.array([np.count_nonzero(mark[ids[begin[j] : begin[j + 1]]]) for j in after], np.int64)
+        mark[ids[begin[i] : begin[i + 1]]] = False
+        linked = after[common >= similarity * (size[i] + size[after] - common) - 1e-9]
+        if len(linked):
+            tied = np.unique(parent[np.append(linked, i)])
+            parent[np.isin(parent, tied)] = tied[0]
+    root = np.empty(len(sets), np.int64)
+    root[order] = order[parent]
+    return root
+
+
 def sketch_bits(similarity: float) -> int:
     """The distance of sketches that texts of this similarity (Jaccard) have, and a little over a deviation more."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -301,6 +360,44 @@ def group_fingerprints(rows: DataFrame, rank: str, radius: int = RADIUS, shard_p
     return skew_join(rows, named, "fp", "n", docs or 0, F.xxhash64(*[c for c in rows.columns if c != "fp"]))
 
 
+def band_links(points: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the distinct points ``fp`` with a key in common of ``keys``."""
+    bands = points.select("fp", F.explode("keys").alias("key"))
+    firsts = bands.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("w")).filter("w > 1")
+    total = points.agg(F.sum(F.size("keys"))).first()[0] or 0
+    return skew_join(bands, firsts, "key", "w", total, F.col("fp")).filter("b <> fp").select(F.col("fp").alias("a"), "b").distinct()
+
+
+def verified_links(texts: DataFrame, points: DataFrame, candidates: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of points whose shingles' Jaccard similarity is at least ``similarity``, as a forest a block.
+
+    ``points``: ``fp`` and ``least.row``, the key of one of its rows among ``texts`` (row, _body). What ``candidates``
+    connect is compared in full, in pairs of blocks where it is more than ``block`` points.
+    """
+    roots = materialise(components(candidates), "candidate-roots")
+    parts = roots.groupBy("root").agg(F.count("*").alias("w")).withColumn("parts", F.ceil(F.col("w") / block).cast("int"))
+    named = skew_join(roots, parts, "root", "w", roots.count(), F.col("node"))
+    members = named.join(points.select("fp", F.col("least.row").alias("row")), F.col("node") == F.col("fp")).select("fp", "row", "root", "parts")
+    members = texts.join(materialise(members, "candidate-rows"), "row").dropDuplicates(["fp"]).select("fp", "root", "parts", "_body")
+
+    def cut(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["fp", "root", "parts", "shingles"])
+
+    def link(part: pa.Table) -> pa.Table:
+        fps = part.column("fp").to_numpy().astype(np.int64)
+        root = jaccard_links([np.frombuffer(x, "<u8") for x in part.column("shingles").to_pylist()], similarity)
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(fps[tied]), "b": pa.array(fps[root[tied]])})
+
+    sets = map_arrow(members, cut, "fp long, root long, parts int, shingles binary")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("fp", "shingles", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return met.groupBy("root", "i", "j").applyInArrow(link, "a long, b long")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of texts whose word shingles are similar: the smallest id, and of rows
     that repeat it, one."""
@@ -310,14 +407,22 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
 
     def scan(batches):
         for batch in batches:
-            told = [wide_simhash(t, shingle) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            told, sets = [wide_simhash(t, shingle) for t in texts], [shingle_set(t, shingle) for t in texts]
             word = np.array([w for w, _ in told], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(word), pa.array([x for _, x in told], pa.binary())], names=["rank", "word", "sketch"])
+            same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array(word), pa.array([x for _, x in told], pa.binary()), keys], names=["rank", "fp", "word", "sketch", "keys"])
 
-    schema = with_columns(source.drop("_body"), "word long, sketch binary")
-    rows = materialise(map_arrow(source, scan, schema).withColumn("fp", F.xxhash64("word", "sketch")), "document-sketches")
+    schema = with_columns(source.drop("_body"), "fp long, word long, sketch binary, keys array<long>")
+    rows = materialise(map_arrow(source, scan, schema), "document-sketches")
     bits = sketch_bits(similarity)
-    grouped = group_fingerprints(rows, "rank", links=lambda points: similar_links(points, bits), carry=("word", "sketch"))
+
+    def links(points: DataFrame) -> DataFrame:
+        candidates = materialise(similar_links(points, bits).unionByName(band_links(points)), "candidates")
+        return verified_links(source.select(F.col("rank.row").alias("row"), "_body"), points, candidates, shingle, similarity)
+
+    grouped = group_fingerprints(rows, "rank", links=links, carry=("word", "sketch", "keys"))
     name = free_name(docs, "_row")
     kept = grouped.filter(F.col("rank") == F.col("first")).select(F.unhex(F.col("rank.row")).alias(name)).distinct()
     return docs.withColumn(name, row).join(materialise(kept, "kept"), name, "left_semi").dropDuplicates([name]).drop(name)

@@ -207,6 +207,42 @@ def test_keep_one_of_similar(spark):
     assert len(got & set(range(100, 140))) <= 3
 
 
+def test_keep_one_matches_brute_force_on_added_cut_and_replaced(spark):
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    docs = {}
+    for k in range(150):
+        n = int(rng.integers(60, 600))
+        words, change = [word() for _ in range(n)], rng.uniform(0.01, 0.3)
+        few = [*words]
+        for at in rng.integers(0, n, max(1, int(change * n / 6))):
+            few[at] = word()
+        other = ([*words, *[word() for _ in range(int(change * n))]], words[: int(n * (1 - change))], few)[k % 3]
+        docs |= {2 * k: words, 2 * k + 1: other}
+    cut = {i: {tuple(w[a : a + 5]) for a in range(len(w) - 4)} for i, w in docs.items()}
+    similar = {k: len(cut[2 * k] & cut[2 * k + 1]) / len(cut[2 * k] | cut[2 * k + 1]) for k in range(150)}
+    want = {2 * k for k in similar} | {2 * k + 1 for k, s in similar.items() if s < 0.8}
+    assert all(15 < sum(s >= 0.8 for k, s in similar.items() if k % 3 == m) < 50 for m in range(3))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 1
+
+
+def test_verified_links_in_blocks(spark):
+    texts = {k: " ".join(f"w{i}" for i in range(k, k + 60)) for k in range(0, 60, 3)} | {k: " ".join(f"x{i}" for i in range(k, k + 60)) for k in (100, 130)}
+    made = spark.createDataFrame([(k, (False, k, str(k))) for k in texts], "fp long, least struct<none boolean, id long, row string>")
+    source = spark.createDataFrame([(str(k), t) for k, t in texts.items()], "row string, _body string")
+    edges = spark.createDataFrame([(k, 0) for k in texts if k], "a long, b long")
+    sets = {k: simhash.shingle_set(t, 5) for k, t in texts.items()}
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8
+    want = {k: 0 if k < 100 else k for k in texts}
+    assert all(alike(k, k + 3) for k in range(0, 57, 3)) and not alike(100, 130)
+    for block in (2048, 4):
+        links = simhash.verified_links(source, made, edges, 5, 0.8, block).collect()
+        assert all(want[r.a] == want[r.b] for r in links)
+        got = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert {k: got.get(k, k) for k in texts} == want
+
+
 def test_half_links_match_brute_force(spark):
     rng = np.random.default_rng(2)
     words = rng.integers(0, 1 << 62, 120).tolist()
