@@ -1,7 +1,7 @@
 """Operator 6, toxicity: a support vector machine over a gap-weighted subsequence kernel with Nyström landmarks.
 
-The kernel of two units (words between marks of their ends, and runs of three or more single characters joined)
-counts the subsequences of three and four characters that they share (hashed to 2**BITS places), each occurrence weighted ``DECAY ** span`` and spanning at most ``SPAN`` characters, so
+The kernel of two units (words between marks of their ends, runs of three or more single characters joined, and two to
+four neighbouring words of at most three characters joined, so that spaces put into an insult don't hide it) counts the subsequences of three and four characters that they share (hashed to 2**BITS places), each occurrence weighted ``DECAY ** span`` and spanning at most ``SPAN`` characters, so
 characters put between the letters of an insult lower its weight but don't hide it. It is divided by a length norm of
 each unit. Units are mapped onto the landmarks' kernel values whitened by the landmarks' own kernel (Nyström), and a
 squared-hinge linear machine is fitted there. As its value is a weighted sum of kernels with landmarks, it is folded
@@ -31,6 +31,8 @@ from .common import crc_mod, draw, free_name, map_arrow, table, with_columns
 
 DECAY, SPAN, CODES, BITS = 0.6, 7, 64, 20
 PER_LABEL, LANDMARKS, CLEAN_UNITS, THRESHOLD = 2000, 256, 8000, 0.7
+#: Longest word that is joined with neighbours as short, and most words that are joined.
+SHORT, JOIN = 3, 4
 #: Units whose value a task remembers, and units that are worked on at once.
 CACHE, CHUNK = 400_000, 8192
 _MARKS = {c: None for c in range(33, 127) if not chr(c).isalnum()}
@@ -39,18 +41,22 @@ _SHAPES = [x for n in (2, 3) for x in combinations(range(1, SPAN), n)]
 
 
 def units_of(text: str | None) -> list[str]:
-    """Lower-cased words of three characters or more without ASCII marks, and runs of three or more single characters joined."""
+    """Lower-cased words of three characters or more without ASCII marks, runs of three or more single characters
+    joined, and every two to ``JOIN`` neighbouring words of at most ``SHORT`` characters joined."""
     words = text.lower().translate(_MARKS).split() if text else []
-    run, joined = [], []
-    for w in words:
+    run, joined, short = [], [], []
+    for w in [*words, ""]:
         if len(w) == 1:
             run.append(w)
-            continue
-        if len(run) > 2:
-            joined.append("".join(run))
-        run = []
-    if len(run) > 2:
-        joined.append("".join(run))
+        else:
+            if len(run) > 2:
+                joined.append("".join(run))
+            run = []
+        if 0 < len(w) <= SHORT:
+            short.append(w)
+        elif short:
+            joined += [u for a in range(len(short) - 1) for b in range(a + 2, min(a + JOIN, len(short)) + 1) if len(u := "".join(short[a:b])) > 3]
+            short = []
     return [w for w in words if len(w) > 2] + joined
 
 

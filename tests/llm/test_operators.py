@@ -268,6 +268,18 @@ def test_toxicity_fixture():
     assert min(gapped) >= 0.7 and model.predict(["", None], {})[0] < 0.7
 
 
+def test_toxicity_across_spaces():
+    rng = np.random.default_rng(5)
+    syllables = ["re", "ta", "no", "li", "su", "ba", "ke", "mo"]
+    word = lambda n: "".join(rng.choice(syllables, n))
+    bad, sizes = ["grumpo", "zonkert", "flimbat"], [1, 1, 2, 3]
+    texts = [(" ".join([word(sizes[k % 4]) for k in range(40)] + ([bad[i % 3]] if i % 2 else [])), i % 2) for i in range(300)]
+    model = toxicity.ToxicityModel([(sorted(set(toxicity.units_of(t))), y) for t, y in texts])
+    split = ["re gr um po no", "talino gru mpo", "g rum po", "zon ke rt ta", "z on ker t", "fl im bat", "flimbat"]
+    assert min(model.predict(split, {})) >= toxicity.THRESHOLD
+    assert max(model.predict([t for t, y in texts if not y], {})) < toxicity.THRESHOLD
+
+
 def test_toxicity_kernel_is_folded_exactly():
     units, marks = ["abcdef", "xabyc", "qq"], ["abc", "bcd"]
     model = toxicity.ToxicityModel([])
