@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -60,17 +60,26 @@ def crc_mod(c: Column, n: int) -> Column:
 
 
 def draw(rows: DataFrame, by: str, key: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows of each value of ``by``, drawn by a hash of ``key``; of a model's classes, so few values.
+    """At most ``bound`` different keys of each value of ``by``, those least by a hash of ``key``; ``by`` holds a model's
+    classes, so few values. One row a key, however often it is repeated.
 
-    The classes' counts give each a share of the hash range that holds about twice the bound, so what is ranked in one
-    place doesn't grow with the rows or the tasks.
+    The classes' counts give each a share of the hash range that holds about twice the bound. Where repeated keys leave
+    too few in it, the share grows and the rows are read again, so what comes to the driver stays near the bound.
     """
-    place, chosen = F.pmod(F.xxhash64(key), F.lit(1 << 30)), F.lit(False)
-    for value, n in rows.groupBy(by).count().collect():
-        share = min(1 << 30, -(-2 * bound * (1 << 30) // n))
-        chosen = chosen | ((F.col(by) == F.lit(value)) & (place < share))
-    ranked = rows.filter(chosen).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key), key)))
-    return ranked.filter(F.col("_n") <= bound).drop("_n")
+    whole, place = 1 << 30, F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    share = {value: min(whole, -(-2 * bound * whole // n)) for value, n in rows.groupBy(by).count().collect() if value is not None}
+    drawn: dict = {}
+    while share:
+        chosen = F.lit(False)
+        for value, s in share.items():
+            chosen = chosen | ((F.col(by) == F.lit(value)) & (place < s))
+        found: dict = {value: [] for value in share}
+        for r in rows.filter(chosen).select(F.col(by).alias("b"), place.alias("p"), F.col(key).alias("k")).distinct().toLocalIterator():
+            found[r.b].append((r.p, r.k))
+        drawn |= {value: [k for _, k in sorted(xs)[:bound]] for value, xs in found.items()}
+        share = {value: min(whole, 4 * s) for value, s in share.items() if s < whole and len(found[value]) < bound}
+    schema = StructType([rows.schema[by], rows.schema[key]])
+    return rows.sparkSession.createDataFrame([(value, k) for value, ks in drawn.items() for k in ks], schema)
 
 
 def skew_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:
@@ -94,12 +103,18 @@ def skew_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total:
     return out.select(*[F.col(c) for c in rows.columns], *[picked[c].alias(c) for c in values])
 
 
+#: Rows and bytes of an Arrow batch where the session leaves Spark's defaults in place.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+
+
 def map_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches small enough that very long texts stay in memory."""
+    """``mapInArrow`` with batches small enough, by rows and by bytes, that very long texts stay in memory. The session's
+    batch options are set if they have their default values; a choice of the user's own stands."""
     ship(df.sparkSession)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name, None) in (None, "10000"):
-        df.sparkSession.conf.set(name, "2000")
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if df.sparkSession.conf.get(name, default) in (None, default):
+            df.sparkSession.conf.set(name, str(value))
     return df.mapInArrow(fn, schema)
 
 

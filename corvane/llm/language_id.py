@@ -7,8 +7,8 @@ rejected if that cosine lies under the language's bound, which is learned from t
 centroids. The score is the winner's share in a softmax over the languages' best cosines, at a temperature fitted
 on the same left-out texts.
 
-Training reads at most ``PER_LANGUAGE`` rows a language, drawn by hash; what reaches the driver are their hashed
-counts (at most DIM places each).
+Training reads at most ``PER_LANGUAGE`` document ids a language, drawn by hash, one text an id however often it is
+repeated (the largest by code units); what reaches the driver are their hashed counts (at most DIM places each).
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and is rejected; with no training rows
 all texts are ``und``; ties go to the first language in order; repeated rows get a row each; an empty table gives an
@@ -17,8 +17,6 @@ empty result; other columns are ignored or pass through.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +27,14 @@ from .common import crc_mod, draw, free_name, map_arrow, table, with_columns
 DIM, CENTROIDS, PER_LANGUAGE = 4096, 4, 400
 #: A text is rejected if its cosine is under this share of the language's lowest left-out hundredth.
 REJECT_SHARE = 0.4
-_LETTER = re.compile(r"[^\W\d_]")
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (superscript digits and fractions are none)."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of a whole text."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(_WORDS).split()
@@ -102,7 +104,7 @@ class Centroids:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
         out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
-        told = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        told = [i for i, t in enumerate(texts) if has_letter(t)]
         for at in range(0, len(told), 256):
             part = told[at : at + 256]
             best = self.similar(self.weigh(np.stack([counts(texts[i]) for i in part])))
@@ -120,12 +122,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Centroids | None:
     """Fit on at most ``per_language`` rows a language where ``learn`` holds."""
-    ids = docs.filter(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
-    ids = draw(ids, "_lang", "_id", per_language)
+    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    # at most per_language ids a language: a size that the parameter bounds
+    ids = F.broadcast(draw(rows.select("_id", "_lang"), "_lang", "_id", per_language))
 
     def vectors(batches):
         for batch in batches:
-            rows = [(k, counts(t).astype(np.uint32)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and _LETTER.search(t)]
+            rows = [(k, counts(t).astype(np.uint32)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
             where = [np.flatnonzero(v) for _, v in rows]
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([k for k, _ in rows], pa.string()),
@@ -133,9 +136,9 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
                 "n": pa.array([v[w].tobytes() for (_, v), w in zip(rows, where, strict=True)], pa.binary()),
             })
 
-    # at most per_language rows a language: a size that the parameter bounds
-    drawn = docs.join(F.broadcast(ids), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
-    rows = map_arrow(drawn.select(F.col(lang), F.col(text)), vectors, "lang string, at binary, n binary").collect()
+    # of rows that repeat an id one text is taken
+    drawn = rows.join(ids, ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.max("_text").alias("_text"))
+    rows = map_arrow(drawn.select("_lang", "_text"), vectors, "lang string, at binary, n binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))
