@@ -9,6 +9,11 @@ character, and at characters that no piece holds. Texts are cut there and each d
 task; a model for which that does not hold is run over whole texts. The vocabulary file is read on the driver and
 broadcast, a size that the model fixes.
 
+Viterbi maximises a sum of log probabilities. A unigram model's file holds them. A BPE model's file holds the order of
+its merges instead, and sums of those numbers mean nothing, so its pieces take Zipf's law over that order
+(:func:`zipf_scores`): no training, and a rule for any BPE vocabulary. Its paths are those of a unigram model with that
+table, not the merges that the BPE model itself would make.
+
 Defined cases: a null text encodes and decodes like an empty one, to nothing; a mark in the text itself decodes to a
 space, so such a text does not come back exactly (``exact`` is false); repeated rows get a row each; an empty table
 gives an empty result; other columns pass through.
@@ -17,6 +22,7 @@ gives an empty result; other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -34,13 +40,30 @@ UNKNOWN_PENALTY = 10.0
 CACHE = 400_000
 
 
-def read_pieces(path: str = MODEL) -> list[tuple[str, float, int]]:
-    """(piece, score, kind): kind 0 normal, 1 a byte, 2 never matched."""
+def zipf_scores(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Pieces with the log probability ``1 / (r * H)``, r their place among the normal ones (from 1), H the harmonic sum."""
+    n = sum(kind == 0 for _, _, kind in pieces)
+    log_h, r, out = math.log(math.fsum(1 / k for k in range(1, n + 1))), 0, []
+    for piece, score, kind in pieces:
+        r += kind == 0
+        out.append((piece, -math.log(r) - log_h if kind == 0 else score, kind))
+    return out
+
+
+def read_pieces(path: str = MODEL, scores: str = "auto") -> list[tuple[str, float, int]]:
+    """(piece, score, kind): kind 0 normal, 1 a byte, 2 never matched.
+
+    ``scores``: "file" takes them from the file, "zipf" from :func:`zipf_scores`, "auto" the latter if the file's are
+    whole numbers that fall with the piece's place, as those of a BPE model do.
+    """
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     kind = lambda i: 1 if m.is_byte(i) else 2 if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else 0
-    return [(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())]
+    pieces = [(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())]
+    given = [score for _, score, k in pieces if k == 0 and score > -1e8]
+    ranks = all(a > b for a, b in zip(given, given[1:])) and all(x == int(x) for x in given)
+    return zipf_scores(pieces) if scores == "zipf" or scores == "auto" and ranks else pieces
 
 
 class PieceModel:
@@ -137,11 +160,11 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
-def encode_texts(docs: DataFrame, text: str = "text", path: str = MODEL, keep: list[str] | None = None, digests: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, text: str = "text", path: str = MODEL, keep: list[str] | None = None, digests: bool = False, scores: str = "auto") -> DataFrame:
     """``docs`` (the columns ``keep``, or all) with ``_ids``, ``_decoded`` and ``_exact``; with ``digests``, with
     ``_n_pieces`` and SHA-256 digests of ids and decoded text in place of the first two."""
     names = docs.columns if keep is None else keep
-    held = docs.sparkSession.sparkContext.broadcast(read_pieces(path))
+    held = docs.sparkSession.sparkContext.broadcast(read_pieces(path, scores))
     body = free_name(docs, "_text")
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(body))
     added = "_n_pieces long, _ids_sha256 string, _decoded_sha256 string, _exact boolean" if digests else "_ids array<int>, _decoded string, _exact boolean"
