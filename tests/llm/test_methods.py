@@ -71,3 +71,79 @@ def test_zipf_scores_are_log_probabilities():
     table = pieces.zipf_scores([("<unk>", 0.0, 2), ("a", -5.0, 0), ("<0x41>", 0.0, 1), ("b", -1e9, 0), ("c", -7.0, 0)])
     assert sum(np.exp(s) for _, s, k in table if k == 0) == pytest.approx(1) and [s for _, s, k in table if k] == [0.0, 0.0]
     assert [s for _, s, k in table if not k] == sorted((s for _, s, k in table if not k), reverse=True)
+
+
+# ---- the subsequence kernel ----
+def _kernel_by_hand(a, b):
+    """All occurrences of four characters within seven, written out."""
+    from itertools import combinations
+
+    from corvane.llm import toxicity as X
+
+    def weights(s):
+        out = {}
+        for at in combinations(range(len(s)), X.LENGTH):
+            if at[-1] - at[0] < X.SPAN:
+                u = "".join(s[i] for i in at)
+                out[u] = out.get(u, 0) + X.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(w * y.get(u, 0) for u, w in x.items()) / np.prod(X.norms(np.array([len(a), len(b)])))
+
+
+def test_kernel_matches_enumeration():
+    from corvane.llm import toxicity as X
+
+    rng = random.Random(5)
+    left = [" moron ", " mo ron ", " m o r o n ", " mxoxrxoxn ", "ab", " ", *(f" {' '.join(words(rng, 5))} " for _ in range(6))]
+    right = [" moron ", " loser ", *(f" {' '.join(words(rng, 4))} " for _ in range(5))]
+    got = X.kernel(X.Occurrences(left), X.Occurrences(right))
+    want = np.array([[_kernel_by_hand(a, b) for b in right] for a in left])
+    near = np.isclose(got, want, atol=1e-6)
+    assert near.mean() > 0.9 and (got >= want - 1e-6).all()  # a hashed place may be shared
+    assert got[0, 0] > got[1, 0] > got[5, 0] == 0 and got[3, 0] > 0 == got[4, 0]
+
+
+def test_folded_weights_are_the_sum_of_kernels():
+    from corvane.llm import toxicity as X
+
+    rng = random.Random(6)
+    marks, texts = [f" {w} " for w in words(rng, 9, lo=4)], [f" {' '.join(words(rng, 7))} " for _ in range(20)]
+    alpha = np.array([rng.uniform(-1, 1) for _ in marks])
+    own = X.Strings(texts)
+    got = X.values(own, (own.begin, own.end - 1), X.Occurrences(marks).fold(alpha))
+    assert np.allclose(got, X.kernel(X.Occurrences(texts), X.Occurrences(marks)) @ alpha, atol=1e-5)
+
+
+def test_runs_of_words():
+    from corvane.llm import toxicity as X
+
+    s = X.Strings([" a b c d ", " e "])
+    first, last, of = s.windows(3)
+    assert [(s.text[a : b + 1], o) for a, b, o in zip(first, last, of)] == [(" a b c ", 0), (" b c d ", 0), (" e ", 1)]
+    assert X.sentences_of("You i d i o t! Go\nGo go go away. 1.5") == [" you idiot ", " go ", " go away ", " 15 "] and X.sentences_of(None) == []
+
+
+def test_insults_with_gaps_and_insertions():
+    from corvane.llm import toxicity as X
+
+    rng = random.Random(7)
+    vocabulary = words(rng, 300, lo=2)
+    clean = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 60))) + "." for _ in range(200)]
+    toxic = [f"{t[:-1]} {rng.choice(['you moron', 'what a fool', 'such a loser', 'moron loser'])} {u}" for t, u in zip(clean[:100], clean[1:])]
+    model = X.ToxicityModel([(t, 0) for t in clean[100:]] + [(t, 1) for t in toxic])
+    unseen = [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(60)]
+    plain = model.predict(unseen)
+    assert (plain >= 0.5).mean() <= 0.1
+    told = {w: model.predict([f"{t} {w} {u}" for t, u in zip(unseen, unseen[1:])]) for w in ("moron", "m o r o n", "m.o.r.o.n", "mo-ron", "loser", "mor on", "mo ron", "moxron")}
+    for w, scores in told.items():
+        assert np.median(scores) > np.quantile(plain, 0.75) and (" " in w and w[1] != " " or "x" in w or (scores >= 0.5).mean() > 0.7), w
+    assert model.predict([None, "", " .. "]).max() <= model.predict(unseen).min() + 1e-12
+
+
+def test_one_label_only():
+    from corvane.llm import toxicity as X
+
+    assert X.ToxicityModel([]).predict(["x", None]).tolist() == pytest.approx([0, 0], abs=1e-6)
+    assert X.ToxicityModel([("x", 1)]).predict(["x", None]).tolist() == pytest.approx([1, 1], abs=1e-6)

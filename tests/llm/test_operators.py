@@ -255,36 +255,34 @@ def test_half_links_match_brute_force(spark):
     assert got == want
 
 
-def test_toxicity_fixture():
-    rng = np.random.default_rng(5)
+def _toxic_texts(n, sizes, seed=5):
+    rng = np.random.default_rng(seed)
     syllables = ["re", "ta", "no", "li", "su", "ba", "ke", "mo"]
-    word = lambda: "".join(rng.choice(syllables, 3))
     bad = ["grumpo", "zonkert", "flimbat"]
-    texts = [([word() for _ in range(30)] + ([bad[i % 3]] if i % 2 else []), i % 2) for i in range(400)]
-    model = toxicity.ToxicityModel([(sorted(set(u)), y) for u, y in texts[:300]])
-    told = [model.predict([" ".join(u)], {})[0] >= 0.7 for u, _ in texts[300:]]
+    out = []
+    for i in range(n):
+        body = ["".join(rng.choice(syllables, sizes[k % len(sizes)])) for k in range(40)]
+        if i % 2:
+            body.insert(int(rng.integers(0, 40)), bad[i // 2 % 3])
+        out.append((" ".join(body), i % 2))
+    return out
+
+
+def test_toxicity_fixture():
+    texts = _toxic_texts(400, [3])
+    model = toxicity.ToxicityModel(texts[:300])
+    told = model.predict([t for t, _ in texts[300:]]) >= 0.7
     assert np.mean([a == bool(y) for a, (_, y) in zip(told, texts[300:], strict=True)]) > 0.97
-    gapped = [model.predict([t], {})[0] for t in ("you g.r.u.m.p.o", "z o n k e r t", "zonkkert", "flim-bat")]
-    assert min(gapped) >= 0.7 and model.predict(["", None], {})[0] < 0.7
+    gapped = model.predict(["you g.r.u.m.p.o", "z o n k e r t", "zonkkert", "flim-bat"])
+    assert gapped.min() >= 0.7 and model.predict(["", None]).max() < 0.7
 
 
 def test_toxicity_across_spaces():
-    rng = np.random.default_rng(5)
-    syllables = ["re", "ta", "no", "li", "su", "ba", "ke", "mo"]
-    word = lambda n: "".join(rng.choice(syllables, n))
-    bad, sizes = ["grumpo", "zonkert", "flimbat"], [1, 1, 2, 3]
-    texts = [(" ".join([word(sizes[k % 4]) for k in range(40)] + ([bad[i % 3]] if i % 2 else [])), i % 2) for i in range(300)]
-    model = toxicity.ToxicityModel([(sorted(set(toxicity.units_of(t))), y) for t, y in texts])
+    texts = _toxic_texts(300, [1, 1, 2, 3])
+    model = toxicity.ToxicityModel(texts)
     split = ["re gr um po no", "talino gru mpo", "g rum po", "zon ke rt ta", "z on ker t", "fl im bat", "flimbat"]
-    assert min(model.predict(split, {})) >= toxicity.THRESHOLD
-    assert max(model.predict([t for t, y in texts if not y], {})) < toxicity.THRESHOLD
-
-
-def test_toxicity_kernel_is_folded_exactly():
-    units, marks = ["abcdef", "xabyc", "qq"], ["abc", "bcd"]
-    model = toxicity.ToxicityModel([])
-    model._fold(marks, np.array([0.3, -1.2]))
-    assert toxicity.scores(units, model.weights) == pytest.approx(toxicity.kernel(units, marks) @ [0.3, -1.2])
+    assert min(model.predict(split)) >= toxicity.THRESHOLD
+    assert max(model.predict([t for t, y in texts if not y])) < toxicity.THRESHOLD
 
 
 def test_toxicity_held_out(spark):
