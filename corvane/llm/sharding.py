@@ -38,6 +38,7 @@ def assign_shards(df: DataFrame, weights: list[float], key: str = "doc_id", text
     ever holds a whole shard and the texts are not shuffled.
     """
     spark = df.sparkSession
+    # the texts are read once; counting, ranging and numbering read what is written here
     meta = df.select(
         F.col(key).alias(key),
         (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("size"),
@@ -45,7 +46,8 @@ def assign_shards(df: DataFrame, weights: list[float], key: str = "doc_id", text
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), [*weights, new_weight]).alias("grown_shard"),
     )
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_TASK))
+    meta = materialise(meta, "shard-records")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-meta.count() // ROWS_PER_TASK))
     order = ["shard", key, "text_crc32", "size"]
     placed = materialise(
         meta.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),
