@@ -5,22 +5,27 @@ The fingerprint is the form's 128-bit XXH3 digest. Documents group by fingerprin
 the bytes of the form itself, so two forms never share a group. The likeness of two fingerprints is 1 if they and
 the bytes behind them are equal, else 0: an exact digest knows nothing in between.
 
-Defined cases: a null text is an empty one; in the order of documents null ids come last and equal ids are ordered
-by text; the only document follows itself; repeated rows get a row each; an empty table gives an empty result; other
-columns are ignored.
+Only documents whose fingerprint another one shares need their bytes compared. The query finds those fingerprints from
+digests alone, and the pass that edits the texts writes the compressed forms of just these documents.
+
+Defined cases: a null text is an empty one; ids are whole numbers; in the order of documents null ids come last and
+equal ids are ordered by text; the only document follows itself; repeated rows get a row each and are copies of each
+other; the group id is the least id, null if no copy has one; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
+import zlib
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import free_shuffles, map_arrow, materialise, skew_join, table
 
 #: Ids drawn for each range of documents; they decide only how even the ranges are.
 DRAWN_PER_RANGE = 20
@@ -50,23 +55,63 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(fingerprint, form, group_id, copies): one row a canonical form, ``group_id`` its least id.
+def _pack(form: bytes) -> bytes:
+    """A form, compressed: equal bytes for equal forms, different ones for different forms."""
+    return zlib.compress(form, 1)
 
-    Rows combine before the shuffle, so a group of any size costs a row a task; the grouping compares the bytes of
-    forms whose fingerprints are equal.
-    """
+
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forms: bool = False) -> DataFrame:
+    """(doc_id, fingerprint), and with ``forms`` the compressed ``form``, of every row."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def scan(batches):
         for batch in batches:
-            forms = [canonical(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(f) for f in forms], pa.string()), pa.array(forms, pa.binary())], names=["doc_id", "fingerprint", "form"])
+            made = [canonical(t) for t in batch.column(1).to_pylist()]
+            out = {"doc_id": batch.column(0), "fingerprint": pa.array([fingerprint(f) for f in made], pa.string())}
+            yield pa.RecordBatch.from_pydict(out | ({"form": pa.array([_pack(f) for f in made], pa.binary())} if forms else {}))
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return map_arrow(source, scan, f"doc_id {kind}, fingerprint string" + (", form binary" if forms else ""))
+
+
+def form_groups(rows: DataFrame) -> DataFrame:
+    """(fingerprint, form, group_id, copies): one row a form, ``group_id`` its least id. ``rows``: doc_id, fingerprint, form.
 
-    rows = map_arrow(source, scan, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint string, form binary")
+    Rows combine before the shuffle, so a group of any size costs a row a task; the grouping compares the bytes of forms
+    whose fingerprints are equal.
+    """
     return rows.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies"))
 
 
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(fingerprint, form, group_id, copies): one row a canonical form of all documents, the form compressed."""
+    return form_groups(digests(docs, doc_id, text, forms=True))
+
+
+def shared_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The different ids (null among them) of documents whose fingerprint another row shares."""
+    rows = materialise(digests(docs, doc_id, text), "digests")
+    shared = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").withColumn("shared", F.lit(True))
+    total = rows.count()
+    told = skew_join(rows, shared, "fingerprint", "n", total, F.xxhash64("doc_id"))
+    return told.filter("shared").select("doc_id").distinct()
+
+
+def with_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` (fingerprint, form and others; a written table) with ``group_id`` and ``copies`` in place of the form; a
+    row without a form is a group of its own."""
+    groups = materialise(form_groups(rows.filter("form is not null").select("doc_id", "fingerprint", "form")), "form-groups")
+    told = groups.groupBy("fingerprint").agg(F.count("*").alias("forms"), F.sum("copies").alias("weight"), F.min("group_id").alias("group_id"), F.sum("copies").alias("copies"))
+    total = told.agg(F.sum("weight")).first()[0] or 0
+    # one form a fingerprint, nearly always: the fingerprint names the group and no bytes travel
+    named = skew_join(rows, told, "fingerprint", "weight", total, F.xxhash64("doc_id"))
+    plain = named.filter("form is null or forms = 1").drop("forms")
+    mixed = named.filter("form is not null and forms > 1").drop("forms", "group_id", "copies")
+    out = plain.unionByName(mixed.join(groups, ["fingerprint", "form"]))
+    alone = F.col("form").isNull()
+    return out.withColumn("group_id", F.when(alone, F.col("doc_id")).otherwise(F.col("group_id"))).withColumn("copies", F.when(alone, 1).otherwise(F.col("copies")).cast("long")).drop("form")
+
+
 def _ranges(docs: DataFrame, doc_id: str, parts: int) -> list[float]:
     """Cuts of the ids into about ``parts`` even ranges, from a sample of DRAWN_PER_RANGE ids a range."""
     n = docs.count()
@@ -76,11 +121,12 @@ def _ranges(docs: DataFrame, doc_id: str, parts: int) -> list[float]:
     return sorted({ids[len(ids) * k // parts] for k in range(1, parts)}) if len(ids) > 1 else []
 
 
-def with_next(docs: DataFrame, fn, schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``fn`` over an iterator of (id, text, text of the next document), next in descending order of id.
+def with_next(docs: DataFrame, fn, schema: str, doc_id: str = "doc_id", text: str = "text", marked: DataFrame | None = None) -> DataFrame:
+    """``fn`` over an iterator of (id, text, text of the next document, marked), next in descending order of id; marked
+    are the documents whose ids (null as well) are among the different ids of ``marked``.
 
     Documents go to ranges of ids, one shuffle; the first document of each range goes to the range before as well,
-    where it only serves as the next of that range's last.
+    where it only serves as the next of that range's last. Marks travel as rows of their own before their documents.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -99,31 +145,41 @@ def with_next(docs: DataFrame, fn, schema: str, doc_id: str = "doc_id", text: st
         F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("extra")), F.struct(F.col("also").alias("r"), F.lit(1).alias("extra")))
     )
     dealt = placed.select("doc_id", "text", F.explode(targets).alias("t")).select("doc_id", "text", "t.r", "t.extra")
-    dealt = dealt.repartition(parts, "r").sortWithinPartitions("r", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    if marked is not None:
+        marks = ranged(marked.select(F.col("doc_id").cast("long").alias("doc_id"), place))
+        dealt = dealt.unionByName(marks.select("doc_id", F.lit(None).cast("string").alias("text"), F.col("range").alias("r"), F.lit(0).alias("extra")))
+    dealt = dealt.repartition(parts, "r").sortWithinPartitions("r", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").isNotNull(), F.xxhash64("text"), "text")
 
     def rows(batches):
-        held = None
+        held, mark = None, ()
         for batch in batches:
             for i, t, r, extra in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                if t is None:
+                    mark = (i,)
+                    continue
                 if held and held[2] == r and not held[3]:
-                    yield held[0], held[1], t
-                held = (i, t, r, extra)
+                    yield held[0], held[1], t, held[4]
+                held = (i, t, r, extra, mark == (i,))
 
     return map_arrow(dealt, lambda batches: fn(rows(batches)), schema)
 
 
+_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, form binary"
+
+
 def _compare(rows):
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = [c.split()[0] for c in _COLUMNS.split(", ")]
     out, told = [[] for _ in names], (None, None)
 
     def flush():
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary()]
         batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
         for c in out:
             c.clear()
         return batch
 
-    for doc_id, text, following in rows:
+    held = 0
+    for doc_id, text, following, marked in rows:
         if told[0] is text:
             own = told[1]
         else:
@@ -135,19 +191,25 @@ def _compare(rows):
         form = canonical(other)
         changed = (fingerprint(form), form)
         sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-        for c, v in zip(out, (doc_id, len(text), sha, own[0], changed[0], likeness(own, changed), likeness(own, after)), strict=True):
+        packed = _pack(own[1]) if marked else None
+        for c, v in zip(out, (doc_id, len(text), sha, own[0], changed[0], likeness(own, changed), likeness(own, after), packed), strict=True):
             c.append(v)
+        held += len(packed or b"")
         told = (following, after)
-        if len(out[0]) >= 2000:
+        if len(out[0]) >= 2000 or held >= 16 << 20:
             yield flush()
+            held = 0
     if out[0]:
         yield flush()
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(table(spark, sf_dir, "documents"), _compare, schema)
+    """Fingerprints of all documents and of their edited texts, and the group of documents with the same form."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = with_next(docs, _compare, _COLUMNS, marked=materialise(shared_ids(docs), "shared-ids"))
+    rows = materialise(rows, "fingerprints")
+    free_shuffles(spark)
+    return with_groups(rows)
 
 
 QUERIES = {"op4_fingerprints": op4_fingerprints}

@@ -136,9 +136,12 @@ def test_insults_with_gaps_and_insertions():
     unseen = [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(60)]
     plain = model.predict(unseen)
     assert (plain >= 0.5).mean() <= 0.1
-    told = {w: model.predict([f"{t} {w} {u}" for t, u in zip(unseen, unseen[1:])]) for w in ("moron", "m o r o n", "m.o.r.o.n", "mo-ron", "loser", "mor on", "mo ron", "moxron")}
-    for w, scores in told.items():
-        assert np.median(scores) > np.quantile(plain, 0.75) and (" " in w and w[1] != " " or "x" in w or (scores >= 0.5).mean() > 0.7), w
+    around = list(zip(unseen, unseen[1:]))
+    without = model.predict([f"{t} {u}" for t, u in around])
+    for w in ("moron", "m o r o n", "m.o.r.o.n", "mo-ron", "loser", "mor on", "mo ron", "moxron"):
+        told = model.predict([f"{t} {w} {u}" for t, u in around])
+        # what is inserted weakens an insult but doesn't hide it
+        assert (told > without).mean() > 0.8 and np.median(told) > np.median(without), w
     assert model.predict([None, "", " .. "]).max() <= model.predict(unseen).min() + 1e-12
 
 
@@ -147,3 +150,26 @@ def test_one_label_only():
 
     assert X.ToxicityModel([]).predict(["x", None]).tolist() == pytest.approx([0, 0], abs=1e-6)
     assert X.ToxicityModel([("x", 1)]).predict(["x", None]).tolist() == pytest.approx([1, 1], abs=1e-6)
+
+
+# ---- fingerprint groups ----
+def test_groups_of_equal_forms(spark, tmp_path):
+    from corvane import llm
+    from corvane.llm import fingerprints
+
+    rows = [(i, f"Copy  {i % 3} STRASSE") for i in range(60)] + [(100 + i, f"own {i}") for i in range(7)] + [(200, None), (201, ""), (None, "own 3"), (300, "copy 0 straße"), (300, "copy 0 straße")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("form", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = llm.queries()["op4_fingerprints"](spark, str(tmp_path)).collect()
+    forms: dict = {}
+    for i, t in rows:
+        forms.setdefault(fingerprints.canonical(t), []).append(i)
+    want = sorted((i is None, i, len(ids), min((x for x in ids if x is not None), default=None)) for ids in forms.values() for i in ids)
+    assert sorted((r.doc_id is None, r.doc_id, r.copies, r.group_id) for r in got) == want
+
+
+def test_forms_with_one_fingerprint_stay_apart(spark):
+    from corvane.llm import fingerprints
+
+    rows = spark.createDataFrame([(1, "f", b"a"), (2, "f", b"b"), (3, "f", b"a"), (4, "g", b"c"), (5, "g", b"c"), (6, "h", None)], "doc_id long, fingerprint string, form binary")
+    got = {r.doc_id: (r.group_id, r.copies) for r in fingerprints.with_groups(rows).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 2), 5: (4, 2), 6: (6, 1)}
