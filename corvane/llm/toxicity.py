@@ -189,7 +189,7 @@ def kernel(left: Occurrences, right: Occurrences) -> np.ndarray:
         k = n[rows]
         pair = np.repeat(begin[left.place[rows]] - np.cumsum(k) + k, k) + np.arange(k.sum())
         out += np.bincount(np.repeat(left.owner[rows], k) * wide + owner[pair], np.repeat(left.weight[rows], k) * weight[pair], minlength=len(out))
-    return out.reshape(-1, wide) / np.outer(left.norm, right.norm)
+    return out.reshape(len(left.norm), wide) / np.outer(left.norm, right.norm)
 
 
 def _parts(texts: list[str | None]):
@@ -277,10 +277,13 @@ class ToxicityModel:
             if step < STEPS:
                 self.landmarks += self._choose(words, choice, examples.fold(cost * y * np.maximum(0, 1 - y * found)), landmarks // STEPS)
                 marks = Occurrences(self.landmarks, gaps)
-        self.weights = marks.fold(alpha)
+        if self.landmarks:
+            self.weights = marks.fold(alpha)
 
     def _choose(self, words: list[str], choice: Occurrences, slope: np.ndarray, n: int) -> list[str]:
         """Words along which the loss falls most, none much like another one."""
+        if not words:
+            return []
         gain = np.abs(np.bincount(choice.owner, choice.weight * slope[choice.place], minlength=len(words))) / choice.own()
         best = [words[i] for i in np.lexsort((np.arange(len(words)), -gain))[: 8 * n] if words[i] not in self.landmarks]
         own, chosen = Occurrences(best), []
