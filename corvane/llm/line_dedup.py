@@ -1,20 +1,24 @@
 """Operator 7, line dedup: levelled sorted runs of line keys, compacted as they grow.
 
-A run is a table of line keys, bucketed and sorted by key. A new batch of documents is merge-joined with the runs:
-keys that they lack are the batch's own, and the batch is added as a run of its own. Once ``fan_in`` runs stand on
-one level they are merged into one of the next, so a key is rewritten once a level. Built-in functions only.
+A run is a table of line keys, bucketed and sorted by key, with the number of documents that hold each and the largest
+of their ids. A new batch of documents is merge-joined with the runs, which tells the keys that they lack (``fresh``),
+and is added as a run of its own. Once ``fan_in`` runs stand on one level they are merged into one of the next, so a
+key is rewritten once a level. Batches may come in any order of ids, and runs may outlive a call and take the batches
+of later ones. Built-in functions only.
 
 A line's key is its MD5 after white space at both ends is stripped and A-Z lower-cased; lines shorter than
 ``min_chars`` code points have none. Keys of ``min_docs`` documents or more lose all lines except those of the
 largest document id that holds them.
 
-Defined cases: a null or empty text is one empty line and keeps it; a null id counts as smaller than any id, and
-null-id documents keep a key that no other document holds; repeated rows count as documents of their own and are
-treated alike; an empty table gives an empty result; other columns pass through untouched.
+Defined cases: ids are whole numbers; rows of a batch with one id are one document, held with all their lines; rows
+without an id are a document for each different text, and their id is smaller than any, so they keep a key that no other document holds;
+ids that come again in a later batch are new documents; a null or empty text is one empty line and keeps it; repeated
+rows are treated alike; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,25 +42,27 @@ def line_keys(text: Column, min_chars: int = MIN_CHARS) -> Column:
 
 
 class LineRuns:
-    """The levelled runs: ``key`` binary, ``docs`` long, ``keeper`` the largest id, set where the key was new."""
+    """The levelled runs: ``key`` binary, ``docs`` long, ``keeper`` the largest id, ``fresh`` whether no earlier batch held
+    the key. ``names`` are the tables to open the runs with in another session."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN, levels: list[list[str]] | None = None):
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
+        self.levels: list[list[str]] = [list(x) for x in levels or []]
 
-    def _write(self, df: DataFrame, level: int) -> None:
+    def _write(self, df: DataFrame, level: int) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         df.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
+        return name
 
     def _rows(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
-        return out
+        # The sum keeps the union from reading columnar batches: Spark 4.1 then takes it for partitioned by key although its
+        # partitions are those of the tables end on end, and a group over it leaves a key once a table.
+        parts = [self.spark.table(name).withColumn("docs", F.col("docs") + F.lit(0).cast("long")) for name in names]
+        return functools.reduce(DataFrame.unionByName, parts)
 
     @property
     def names(self) -> list[str]:
@@ -64,25 +70,23 @@ class LineRuns:
 
     def merged(self, names: list[str] | None = None) -> DataFrame:
         """One row a key over the given runs."""
-        return self._rows(names or self.names).groupBy("key").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
-
-    def add(self, batch: DataFrame) -> None:
-        """Add (doc_id, keys array) of a batch whose ids are below those of the batches before."""
-        own = (
-            batch.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-            .filter("key is not null")
-            .groupBy(F.unhex("key").alias("key"))
-            .agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
-        )
-        if self.names:
-            held = [self.spark.table(n).filter("keeper is not null").select("key") for n in self.names]
-            for i, keys in enumerate(held):
-                keys = keys.withColumnRenamed("key", f"_k{i}")
-                own = own.join(keys.hint("merge"), F.col("key") == F.col(f"_k{i}"), "left")
-            new = F.coalesce(*[F.col(f"_k{i}") for i in range(len(held))]).isNull()
-            own = own.select("key", "docs", F.when(new, F.col("keeper")).alias("keeper"))
-        self._write(own, 0)
+        rows = self._rows(names or self.names)
+        return rows.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh"))
+
+    def add(self, batch: DataFrame) -> int:
+        """Add (row, doc_id, keys array) of a batch; the number of its keys that the runs lacked."""
+        anonymous = F.when(F.col("doc_id").isNull(), F.col("row"))
+        held = batch.select("doc_id", anonymous.alias("row"), F.explode("keys").alias("key")).filter("key is not null").distinct()
+        own = held.groupBy(F.unhex("key").alias("key")).agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
+        known = F.lit(False)
+        for i, name in enumerate(self.names):
+            keys = self.spark.table(name).select(F.col("key").alias(f"_k{i}"))
+            own = own.join(keys.hint("merge"), F.col("key") == F.col(f"_k{i}"), "left")
+            known = known | F.col(f"_k{i}").isNotNull()
+        name = self._write(own.select("key", "docs", "keeper", (~known).alias("fresh")), 0)
+        new = self.spark.table(name).filter("fresh").count()
         self._compact()
+        return new
 
     def _compact(self) -> None:
         level = 0
@@ -100,32 +104,36 @@ class LineRuns:
         self.levels = []
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, runs: LineRuns | None = None
+) -> DataFrame:
     """``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept`` (the lines that stay) added.
 
+    ``runs`` of earlier calls count as well: their documents may hold a key's line in place of these, and the runs hold
+    this call's keys afterwards. Without any, runs are made for this call and dropped at its end.
+
     The texts are cut into lines once for the keys and once for the result; what is shuffled in between are keys
-    and positions. Batches go from the largest ids down, so the batch that brings a key holds its largest id.
+    and positions. A first load is dealt to batches by a hash of the id.
     """
     spark = docs.sparkSession
     row = F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))))
-    lo, hi = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-    if lo is None:
-        lo = hi = 0
-    at = F.least(F.lit(batches - 1), F.floor((F.lit(float(hi)) - F.col(doc_id)) * batches / (float(hi) - float(lo) + 1)))
     digests = materialise(
         docs.select(
             F.unhex(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), line_keys(F.col(text), min_chars).alias("keys"),
-            F.coalesce(at, F.lit(batches - 1)).cast("int").alias("batch"),
+            F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(batches)).cast("int").alias("batch"),
         ).filter(F.exists("keys", lambda k: k.isNotNull())),
         "line-keys", "batch",
     )
-    runs = LineRuns(spark)
-    for b in range(batches):
-        runs.add(digests.filter(F.col("batch") == b))
-    merged = runs.merged()
-    total = merged.agg(F.sum("docs")).first()[0] or 0
-    hot = materialise(merged.filter(F.col("docs") >= min_docs), "hot-lines")
-    runs.drop()
+    held = runs or LineRuns(spark)
+    try:
+        for b in range(batches):
+            held.add(digests.filter(F.col("batch") == b))
+        merged = held.merged()
+        total = merged.agg(F.sum("docs")).first()[0] or 0
+        hot = materialise(merged.filter(F.col("docs") >= min_docs).select("key", "docs", "keeper"), "hot-lines")
+    finally:
+        if runs is None:
+            held.drop()
     free_shuffles(spark)
     seen = digests.select("row", "doc_id", F.posexplode("keys").alias("pos", "key")).filter("key is not null").withColumn("key", F.unhex("key"))
     hits = skew_join(seen, hot.withColumn("found", F.lit(True)), "key", "docs", total, F.col("row"))

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane import llm
 from corvane.llm import decontaminate, fingerprints, line_dedup, lm_score, pieces, sharding, simhash, toxicity, warc
@@ -297,15 +298,48 @@ def test_toxicity_held_out(spark):
 def test_line_runs_add_in_batches(spark):
     runs = line_dedup.LineRuns(spark, buckets=2)
     key = lambda s: hashlib.md5(s.encode()).hexdigest()
-    batches = [[(9, ["a", "b"]), (8, ["a"])], [(7, ["a", "c"])], [(5, ["b", None])], [(2, ["a", "a"])]]
+    batches = [[(5, ["b", None])], [(9, ["a", "b"]), (8, ["a"])], [(7, ["a", "c"]), (7, ["a"])], [(2, ["a", "a"]), (None, ["a"]), (None, ["a"])]]
+    new = []
     for b in batches:
-        runs.add(spark.createDataFrame([(i, [k and key(k) for k in ks]) for i, ks in b], "doc_id long, keys array<string>"))
+        rows = [(bytes([n]), i, [k and key(k) for k in ks]) for n, (i, ks) in enumerate(b)]
+        new.append(runs.add(spark.createDataFrame(rows, "row binary, doc_id long, keys array<string>")))
+    assert new == [1, 1, 1, 0]
     assert [len(x) for x in runs.levels] == [0, 0, 1]
     got = {bytes(r.key).hex(): (r.docs, r.keeper) for r in runs.merged().collect()}
-    assert got == {key("a"): (4, 9), key("b"): (2, 9), key("c"): (1, 7)}
+    assert got == {key("a"): (6, 9), key("b"): (2, 9), key("c"): (1, 7)}
+    again = line_dedup.LineRuns(spark, buckets=2, levels=runs.levels)
+    assert again.merged().count() == 3
     runs.drop()
 
 
+def test_runs_hold_a_key_once(spark):
+    made = spark.range(4000).select(F.xxhash64("id").cast("string").cast("binary").alias("row"), F.col("id").alias("doc_id"), F.array(F.md5((F.col("id") % 700).cast("string"))).alias("keys"), (F.col("id") % 5).alias("b"))
+    runs = line_dedup.LineRuns(spark)
+    new = [runs.add(made.filter(F.col("b") == b)) for b in range(5)]
+    assert sum(new) == 700
+    assert all(spark.table(n).count() == spark.table(n).select("key").distinct().count() for n in runs.names)
+    assert runs.merged().agg(F.count("*"), F.sum("docs")).first()[:] == (700, 4000)
+    runs.drop()
+
+
+def test_line_runs_over_calls(spark):
+    line = "a line of more than forty characters that many documents hold"
+    rows = lambda ids: spark.createDataFrame([(i, f"{line}\nown {i}") for i in ids], "doc_id long, text string")
+    runs = line_dedup.LineRuns(spark, buckets=2)
+    first = {r.doc_id: r._kept for r in line_dedup.dedup_lines(rows([10, 11, 12]), runs=runs).collect()}
+    assert all(line in t for t in first.values())
+    later = {r.doc_id: r._kept for r in line_dedup.dedup_lines(rows([1, 2, 20, 20]), runs=runs).collect()}
+    assert later == {1: "own 1", 2: "own 2", 20: f"{line}\nown 20"}
+    runs.drop()
+    # rows of one id are one document: four documents are too few
+    four = line_dedup.dedup_lines(rows([1, 1, 1, 2, 3, 4])).collect()
+    assert all(r._n_dropped == 0 for r in four)
+    # rows without an id are one each, and smaller than any id
+    plain = spark.createDataFrame([(None, f"{line}\nown {i}") for i in range(4)] + [(7, line)], "doc_id long, text string")
+    none = line_dedup.dedup_lines(plain).collect()
+    assert sorted((r.doc_id is None, r._n_dropped) for r in none) == [(False, 0)] + [(True, 1)] * 4
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h{i % 3}.example.org/p{i % 5}?q#x", None if i == 4 else f"<p>{i % 4} é</p>") for i in range(40)], "page_id long, url string, html string")
     root = f"file://{tmp_path}/w"
