@@ -5,8 +5,9 @@ ordered by rarity, counted over all documents; a document can only hold the wind
 that word is the window's necessary prefix. Where a document has it, the window's place follows from the word's
 offset; places that stick out of the document are pruned, the others are verified word for word.
 
-Items travel to the tasks in blocks of a stated size, any number of them, each held by a task only while it works
-on it; documents are not shuffled.
+Items lie in shared storage in blocks of a stated size, any number of them. One pass over the documents counts the
+words of all blocks, one finds their windows. A task holds one block at a time: with several, it gathers documents of
+``HELD_BYTES`` and takes them through the blocks in turn, reading each block anew. Documents are not shuffled.
 
 Defined cases: a null text has no words; items with a null id or without words are ignored; rows that repeat an item
 id count as one item; documents that repeat get a row each; no items or no documents give no hits or no rows; other
@@ -16,17 +17,21 @@ columns are ignored or pass through.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, table, with_columns
+from . import storage
+from .common import free_name, map_arrow, materialise, shared_path, table, with_columns
 
 WINDOW = 10
 #: UTF-8 bytes of item text in one block; a task holds one block at a time.
 BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of documents that a task takes through the blocks together, where there are several.
+HELD_BYTES = 64 << 20
 #: Between words: ASCII other than digits and letters. A-Z become a-z.
 _TO_WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else 32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256)
@@ -70,68 +75,113 @@ class WindowIndex:
                     found |= ids
 
 
-def _item_blocks(items: DataFrame, item_id: str, text: str) -> list:
-    """Broadcasts of (id, text) lists of at most BLOCK_BYTES each (an item larger than that is a block)."""
-    sc, blocks, block, held = items.sparkSession.sparkContext, [], [], 0
+def _item_blocks(items: DataFrame, item_id: str, text: str, root: str, block_bytes: int) -> int:
+    """Write (id, text) lists of about ``block_bytes`` each (an item larger than that is a block) as ``items-k`` under
+    ``root``; their number. The driver holds one block."""
+    n, block, held = 0, [], 0
     rows = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
     for row in rows.toLocalIterator():
         block.append((row.i, row.t))
         held += len(row.t.encode("utf-8", "surrogatepass"))
-        if held >= BLOCK_BYTES:
-            blocks.append(sc.broadcast(block))
-            block, held = [], 0
-    return [*blocks, *([sc.broadcast(block)] if block else [])]
+        if held >= block_bytes:
+            storage.write(f"{root}/items-{n}", pickle.dumps(block))
+            n, block, held = n + 1, [], 0
+    if block:
+        storage.write(f"{root}/items-{n}", pickle.dumps(block))
+    return n + bool(block)
 
 
-def _rarity(docs: DataFrame, text: str, block) -> dict[bytes, int]:
-    """Documents that hold each word of a block, counted over all documents; as many rows as the block has words."""
+class _Blocks:
+    """The blocks under a folder, one at a time; ``make`` turns a block's number into what is held of it."""
+
+    def __init__(self, n: int, make):
+        self.n, self.make, self.at, self.held = n, make, -1, None
+
+    def __iter__(self):
+        for k in range(self.n):
+            if self.at != k:
+                self.held = None  # before the next is read
+                self.at, self.held = k, self.make(k)
+            yield k, self.held
+
+
+def _gathered(batches, several: bool):
+    """Batches as they come, or with several blocks about HELD_BYTES of them as one."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if not several or size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    def count(batches):
-        vocabulary = frozenset(w for _, t in block.value for w in words_of(t))
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(vocabulary.intersection(words_of(t)))
-        yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = map_arrow(docs.select(F.col(text)), count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {bytes(r.w): r.n for r in counted.toLocalIterator()}
+def _load(root: str, name: str):
+    return pickle.loads(storage.read(f"{root}/{name}"))
+
+
+def _rarity(docs: DataFrame, text: str, root: str, n: int) -> None:
+    """Write each block's words with the documents that hold them, counted over all documents, as ``rarity-k``; as many
+    rows as a block has words."""
+
+    def count(batches):
+        seen = [Counter() for _ in range(n)]
+        blocks = _Blocks(n, lambda k: frozenset(w for _, t in _load(root, f"items-{k}") for w in words_of(t)))
+        for held in _gathered(batches, n > 1):
+            texts = [set(words_of(t)) for batch in held for t in batch.column(0).to_pylist()]
+            for k, vocabulary in blocks:
+                for words in texts:
+                    seen[k].update(vocabulary & words)
+        for k, words in enumerate(seen):
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(words), pa.int64()), "w": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
+
+    counted = materialise(map_arrow(docs.select(F.col(text)), count, "k long, w binary, n long").groupBy("k", "w").agg(F.sum("n").alias("n")), "item-words")
+    for k in range(n):
+        rows = counted.filter(F.col("k") == k).select("w", "n").toLocalIterator()
+        storage.write(f"{root}/rarity-{k}", pickle.dumps({bytes(r.w): r.n for r in rows}))
 
 
 ADDED = "_n_words long, _n_hit long, _items array<long>"
 
 
-def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, keep: list[str] | None = None, clean_only: bool = False) -> DataFrame:
+def find_items(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, keep: list[str] | None = None, clean_only: bool = False,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """``docs`` (the columns ``keep``, or all) with the number of words, of hit words and the items found.
 
     ``clean_only`` returns the rows without a hit, without those three columns.
     """
-    sc = docs.sparkSession.sparkContext
-    blocks = [(b, sc.broadcast(_rarity(docs, text, b))) for b in _item_blocks(items, item_id, item_text)]
+    root = shared_path(docs.sparkSession, "benchmark-items")
+    n = _item_blocks(items, item_id, item_text, root, block_bytes)
+    if n:
+        _rarity(docs, text, root, n)
     names = docs.columns if keep is None else keep
     body = free_name(docs, "_text")
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body))
 
     def scan(batches):
-        index, held = None, -1
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        blocks = _Blocks(n, lambda k: WindowIndex(_load(root, f"items-{k}"), _load(root, f"rarity-{k}"), size))
+        for held in _gathered(batches, n > 1):
+            texts = [words_of(t) for batch in held for t in batch.column(batch.num_columns - 1).to_pylist()]
             covered, found = [bytearray(len(w)) for w in texts], [set() for _ in texts]
-            for k, (block, rarity) in enumerate(blocks):
-                if held != k:
-                    index, held = WindowIndex(block.value, rarity.value, size), k
+            for _, index in blocks:
                 for w, c, f in zip(texts, covered, found, strict=True):
                     index.find(w, c, f)
-            own = [batch.column(i) for i in range(len(names))]
-            if clean_only:
-                clean = pa.array([not f for f in found], pa.bool_())
-                yield pa.RecordBatch.from_arrays(own, names=names).filter(clean)
-                continue
-            added = [
-                pa.array([len(w) for w in texts], pa.int64()), pa.array([sum(c) for c in covered], pa.int64()),
-                pa.array([sorted(f) for f in found], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([*own, *added], names=[*names, "_n_words", "_n_hit", "_items"])
+            at = 0
+            for batch in held:
+                own, to = [batch.column(i) for i in range(len(names))], at + batch.num_rows
+                if clean_only:
+                    yield pa.RecordBatch.from_arrays(own, names=names).filter(pa.array([not f for f in found[at:to]], pa.bool_()))
+                else:
+                    added = [
+                        pa.array([len(w) for w in texts[at:to]], pa.int64()), pa.array([sum(c) for c in covered[at:to]], pa.int64()),
+                        pa.array([sorted(f) for f in found[at:to]], pa.list_(pa.int64())),
+                    ]
+                    yield pa.RecordBatch.from_arrays([*own, *added], names=[*names, "_n_words", "_n_hit", "_items"])
+                at = to
 
     return map_arrow(source, scan, with_columns(source.drop(body), "" if clean_only else ADDED))
 

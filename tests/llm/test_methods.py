@@ -173,3 +173,29 @@ def test_forms_with_one_fingerprint_stay_apart(spark):
     rows = spark.createDataFrame([(1, "f", b"a"), (2, "f", b"b"), (3, "f", b"a"), (4, "g", b"c"), (5, "g", b"c"), (6, "h", None)], "doc_id long, fingerprint string, form binary")
     got = {r.doc_id: (r.group_id, r.copies) for r in fingerprints.with_groups(rows).collect()}
     assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 2), 5: (4, 2), 6: (6, 1)}
+
+
+# ---- benchmark windows ----
+def test_items_in_blocks(spark):
+    from corvane.llm import decontaminate
+
+    rng = random.Random(9)
+    vocabulary = words(rng, 60)
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 3, 9, 10, 30])))) for k in range(40)] + [(None, "a b c"), (40, None)]
+    docs = [(k, " ".join([*rng.choices(vocabulary, k=rng.randint(0, 50)), *items[k % 40][1].split()[: rng.randint(5, 30)], *rng.choices(vocabulary, k=9)])) for k in range(120)] + [(None, None), (7, ""), (7, "")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for i, t in docs:
+        w = decontaminate.words_of(t)
+        hit, names = set(), set()
+        for item, x in items:
+            for win in decontaminate.windows_of(decontaminate.words_of(x)) if item is not None else ():
+                for at in range(len(w) - len(win) + 1):
+                    if tuple(w[at : at + len(win)]) == win:
+                        hit.update(range(at, at + len(win)))
+                        names.add(item)
+        want.append((str(i), len(w), len(hit), sorted(names)))
+    for size in (1 << 20, 300):  # one block, many blocks
+        got = decontaminate.find_items(a, b, block_bytes=size).collect()
+        assert sorted((str(r.doc_id), r._n_words, r._n_hit, list(r._items)) for r in got) == sorted(want)
+    assert any(n for _, _, n, _ in want) and any(not n for _, _, n, _ in want)
