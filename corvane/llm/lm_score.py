@@ -9,10 +9,12 @@ different words) to shared storage and asks for the counts of the block's differ
 hashes, cut by range into parts and packed. Each part adds up what all blocks of the corpus brought, and
 answers each block in the order in which it asked. With the answers a block scores its documents. So every word and
 pair of the corpus is counted, once a block and part of the data travels, and no task holds more than a part or a
-block. Words are told apart by 64-bit hashes, pairs by 56-bit ones.
+block. There are as many parts as the corpus' tokens need at about PART_TOKENS each, so a part's size doesn't grow with the
+corpus. Words and pairs are told apart by 64-bit hashes.
 
 Defined cases: a null text is an empty one, with the end token only; without training documents all counts are zero
-and every token has probability 1 / 1; repeated rows count and are scored as documents of their own; a null id
+and only the uniform estimate is left, 1 / (0 + 1) times its whole weight, so every score is 0; ids are whole numbers;
+repeated rows count and are scored as documents of their own; a null id
 counts as the empty string; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from . import storage
 from .common import ascii_lower_bytes, free_shuffles, map_arrow, materialise, shared_path, table
 
-#: Tokens in a block.
-BLOCK_TOKENS = 1_000_000
+#: Tokens in a block, and those whose words and pairs one part adds up (by the texts' bytes, at BYTES_A_TOKEN each).
+BLOCK_TOKENS, PART_TOKENS, BYTES_A_TOKEN = 1_000_000, 4_000_000, 6
 BUCKETS, EM_ROUNDS = 24, 40
 #: Bins of the log ratios between estimates, four to a factor of two, from -40 to 40 powers of two.
 RATIO_BINS = 320
@@ -44,10 +46,10 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """A hash of an ordered pair of word hashes: 56 bits, the low byte left empty so that packed gaps are shorter."""
+    """A hash of an ordered pair of word hashes."""
     h = (u * np.uint64(0x9FB21C651E98DF25)) ^ (v + np.uint64(0x165667B19E3779F9))
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(0xFFFFFFFFFFFFFF00)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def pack(keys: np.ndarray, counts: np.ndarray, held: np.ndarray) -> bytes:
@@ -58,6 +60,15 @@ def pack(keys: np.ndarray, counts: np.ndarray, held: np.ndarray) -> bytes:
     return _join(head, zlib.compress(body, 1), small(counts), small(held))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes first, then the second ones, and so on: easier to compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplanes(b: bytes, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T)
+
+
 def _join(*parts: bytes) -> bytes:
     return b"".join(np.array([len(p)], "<u4").tobytes() + p for p in parts)
 
@@ -174,7 +185,7 @@ def count_corpus(docs: DataFrame, root: str, parts: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
-            stored = [sink.getvalue().to_pybytes(), kinds.astype(np.int8).tobytes(), lengths.astype("<i8").tobytes(), words.astype("<i4").tobytes(), hashes.astype("<u8").tobytes()]
+            stored = [sink.getvalue().to_pybytes(), kinds.astype(np.int8).tobytes(), lengths.astype("<i8").tobytes(), _planes(words.astype("<i4")), hashes.astype("<u8").tobytes()]
             data = _join(*[zlib.compress(x, 1) for x in stored])
             # a repeated task writes the same bytes to the same place
             storage.replace(f"{root}/block-{name}", data, f".{uuid.uuid4().hex}")
@@ -231,7 +242,7 @@ class Counted:
         stored = [zlib.decompress(x) for x in _parts(storage.read(f"{root}/block-{name}"))]
         self.ids = pa.ipc.open_stream(stored[0]).read_all().column("id")
         self.kinds = np.frombuffer(stored[1], np.int8)
-        lengths, words, hashes = np.frombuffer(stored[2], "<i8"), np.frombuffer(stored[3], "<i4"), np.frombuffer(stored[4], "<u8")
+        lengths, words, hashes = np.frombuffer(stored[2], "<i8"), _unplanes(stored[3], 4).view("<i4").ravel(), np.frombuffer(stored[4], "<u8")
         told = {0: [], 1: []}
         for p, a in sorted(zip(parts, answers, strict=True)):
             told[p % 2].append([unsmall(x) for x in _parts(a)])
@@ -287,7 +298,9 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     part = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % learn
     held = (skip + 1) % learn
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(part == skip, 0).when(part == held, 2).otherwise(1).alias("kind"), F.col(text).alias("text"))
-    parts, root = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, "lm-blocks")
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (BYTES_A_TOKEN * PART_TOKENS)))
+    root = shared_path(spark, "lm-blocks")
     counts = count_corpus(source, root, parts)
     free_shuffles(spark)
     sums = np.zeros(4, np.int64)
@@ -316,6 +329,7 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         b = Counted(root, key[0].as_py(), rows.column("part").to_pylist(), rows.column("answer").to_pylist())
         context = b.word_n[b.left]
         w = weights[_bucket(context)]
+        w = w if total else np.array([[0.0, 0.0, 1.0]])
         p = w[:, 0] * b.pair_n / np.maximum(1, context) + w[:, 1] * b.word_n[b.right] / max(1, total) + w[:, 2] / (distinct + 1)
         score = np.bincount(b.doc, np.log10(p)[b.pair_of], minlength=len(b.lengths))
         word = b.word_n[b.token]
