@@ -92,9 +92,9 @@ def skew_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total:
     bar = max(1.0, total / HEAVY_KEYS)
     values = [c for c in lookup.columns if c not in (key, weight)]
     heavy = lookup.filter(F.col(weight) > bar).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
-    light = lookup.filter(F.col(weight) <= bar).select(
-        F.col(key).alias("_lk"), F.lit(0).cast("long").alias("_ls"), F.struct(*values).alias("_lv")
-    )
+    # zero, but no literal: the optimiser would take a literal for a filter and deal the rows by the key alone
+    zero = F.pmod(F.xxhash64(key), F.lit(1).cast("long"))
+    light = lookup.filter(F.col(weight) <= bar).select(F.col(key).alias("_lk"), zero.alias("_ls"), F.struct(*values).alias("_lv"))
     out = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left").withColumn(
         "_salt", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread))
     )
