@@ -91,7 +91,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def shared_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The different ids (null among them) of documents whose fingerprint another row shares."""
     rows = materialise(digests(docs, doc_id, text), "digests")
-    shared = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").withColumn("shared", F.lit(True))
+    shared = materialise(rows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").withColumn("shared", F.lit(True)), "shared-digests")
     total = rows.count()
     told = skew_join(rows, shared, "fingerprint", "n", total, F.xxhash64("doc_id"))
     return told.filter("shared").select("doc_id").distinct()
@@ -100,16 +100,20 @@ def shared_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def with_groups(rows: DataFrame) -> DataFrame:
     """``rows`` (fingerprint, form and others; a written table) with ``group_id`` and ``copies`` in place of the form; a
     row without a form is a group of its own."""
-    groups = materialise(form_groups(rows.filter("form is not null").select("doc_id", "fingerprint", "form")), "form-groups")
+    sharing = rows.filter("form is not null")
+    groups = materialise(form_groups(sharing.select("doc_id", "fingerprint", "form")), "form-groups")
     told = groups.groupBy("fingerprint").agg(F.count("*").alias("forms"), F.sum("copies").alias("weight"), F.min("group_id").alias("group_id"), F.sum("copies").alias("copies"))
     total = told.agg(F.sum("weight")).first()[0] or 0
-    # one form a fingerprint, nearly always: the fingerprint names the group and no bytes travel
-    named = skew_join(rows, told, "fingerprint", "weight", total, F.xxhash64("doc_id"))
-    plain = named.filter("form is null or forms = 1").drop("forms")
-    mixed = named.filter("form is not null and forms > 1").drop("forms", "group_id", "copies")
-    out = plain.unionByName(mixed.join(groups, ["fingerprint", "form"]))
-    alone = F.col("form").isNull()
-    return out.withColumn("group_id", F.when(alone, F.col("doc_id")).otherwise(F.col("group_id"))).withColumn("copies", F.when(alone, 1).otherwise(F.col("copies")).cast("long")).drop("form")
+    # one form a fingerprint, nearly always: the fingerprint names the group; rows that are alone don't travel
+    told = materialise(told, "form-names")
+    several = [r.fingerprint for r in told.filter("forms > 1").limit(1).collect()]
+    named = skew_join(sharing if several else sharing.drop("form"), told, "fingerprint", "weight", total, F.xxhash64("doc_id"))
+    out = named.filter("forms = 1").drop("forms", "form")
+    if several:
+        mixed = named.filter("forms > 1").drop("forms", "group_id", "copies")
+        out = out.unionByName(mixed.join(groups, ["fingerprint", "form"]).drop("form"))
+    alone = rows.filter("form is null").drop("form")
+    return alone.withColumn("group_id", F.col("doc_id")).withColumn("copies", F.lit(1).cast("long")).unionByName(out)
 
 
 def _ranges(docs: DataFrame, doc_id: str, parts: int) -> list[float]:
