@@ -48,8 +48,20 @@ def overlap_scorer(question: str, text: str) -> float:
     return len(q & set(fold_text(text).split())) / len(q) if q else 0.0
 
 
-def score_pairs(df: DataFrame, scorer: Callable[[str, str], float] | None = None, question: str = "question", text: str = "text", out: str = "rerank_score") -> DataFrame:
-    """``df`` with the scorer's value of each pair; a scorer that fails or gives no number counts as 0."""
+def from_logits(given) -> float:
+    """A model's output as a score: a number as it is; one logit by its logistic value, several by the second's softmax."""
+    if not hasattr(given, "__len__"):
+        return float(given)
+    x = np.asarray(given, float).ravel()
+    if len(x) == 1:
+        return float(1 / (1 + np.exp(-x[0])))
+    e = np.exp(x - x.max())
+    return float(e[1] / e.sum())
+
+
+def score_pairs(df: DataFrame, scorer: Callable[[str, str], float | list[float]] | None = None, question: str = "question", text: str = "text", out: str = "rerank_score") -> DataFrame:
+    """``df`` with the scorer's value of each pair; a scorer that fails or gives no number counts as 0, and
+    one that gives logits is read by :func:`from_logits`."""
     ship(df.sparkSession)
     run = scorer or overlap_scorer
 
@@ -58,7 +70,7 @@ def score_pairs(df: DataFrame, scorer: Callable[[str, str], float] | None = None
         values = []
         for a, b in zip(q, t, strict=True):
             try:
-                v = float(run(a or "", b or ""))
+                v = from_logits(run(a or "", b or ""))
             except Exception:  # noqa: BLE001  a model's failure is a score of 0
                 v = 0.0
             values.append(0.0 if v != v else v)

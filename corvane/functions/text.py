@@ -31,6 +31,7 @@ EMAIL_WORDS = ("email", "e-mail", "mail")
 GENERIC_NAME_TOKENS = (
     "bacharelado", "departamento", "secretaria", "curso", "corpo", "docente", "telefones", "contato", "impressao", "reserva", "servico", "faculdade",
 )
+HINT_WORDS = {"computacao": ("computacao", "comp.", "bcc", "bsi", "dco"), "psicologia": ("psicologia", "dpsi"), "biologia": ("biologia", "dcb")}
 ASK_QUESTION, ASK_DETAIL = "Não entendi. Pode escrever sua pergunta?", "Pode detalhar melhor a sua pergunta?"
 # ---- end of fixed values ----
 
@@ -73,23 +74,46 @@ def map_mojibake(c: Column) -> Column:
     return F.translate(c, MOJIBAKE_FROM + SOFT_HYPHEN, MOJIBAKE_TO)
 
 
+#: Windows-1252 characters of the bytes 0x80 to 0x9F, and the control characters that Latin-1 has there.
+_C1 = [(ch, chr(b)) for b in range(0x80, 0xA0) if (ch := bytes([b]).decode("cp1252", "ignore"))]
+
+
+def undo_latin1(c: Column) -> Column:
+    """Lines whose UTF-8 bytes were once read as Latin-1 or Windows-1252 as they were meant; others unchanged."""
+
+    def line(x: Column) -> Column:
+        plain = F.translate(x, "".join(a for a, _ in _C1), "".join(b for _, b in _C1))
+        raw = F.encode(F.when(plain.rlike("^[\\x{0}-\\x{ff}]*$"), plain), "ISO-8859-1").cast("string")
+        return F.when(x.rlike("[\u00c2-\u00f4]") & F.is_valid_utf8(raw), raw).otherwise(x)
+
+    return F.when(c.rlike("[\u00c2-\u00f4]"), F.array_join(F.transform(F.split(c, "\n", -1), line), "\n")).otherwise(c)
+
+
+def _compositions() -> list[tuple[str, str]]:
+    """(base and mark, letter) for the letters of Latin-1 and Latin Extended-A, from Unicode's decompositions."""
+    return [(d, c) for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFD", c)) == 2]
+
+
+def compose(c: Column) -> Column:
+    """Latin letters followed by a combining mark as one character (NFC for those letters)."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(x).alias("x")) for d, x in _compositions()])
+    return F.when(c.rlike("[\u0300-\u036f]"), F.aggregate(pairs, c, lambda text, p: F.replace(text, p["d"], p["x"]))).otherwise(c)
+
+
 def repair(c: Column) -> Column:
-    """Mojibake repair: the character table, ordinal signs inside words, one name."""
-    c = map_mojibake(c)
+    """Mojibake repair: encoding round trips undone, the character table, ordinal signs inside words, one name, composed
+    letters."""
+    c = map_mojibake(compose(undo_latin1(c)))
     c = F.regexp_replace(c, r"(?U)(?<=\w)ª(?=\w)", "ê")
     c = F.regexp_replace(c, r"(?<![0-9nN])º(?=[a-záéíóúãõêô])", "ú")
     c = F.regexp_replace(c, r"(?<![0-9nN])º(?=[A-ZÁÉÍÓÚÃÕÊÔ])", "Ú")
-    return F.regexp_replace(c, "Ant´nio", "Antônio")
+    return compose(F.replace(c, F.lit("Ant´nio"), F.lit("Antônio")))
 
 
 def cache_form(c: Column) -> Column:
     return F.lower(squeeze(repair(c)))
 
 
-def distinct_in_order(c: Column) -> Column:
-    return F.array_distinct(c)
-
-
 def letters(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(LETTERS), 0)
 
@@ -164,12 +188,12 @@ def blocks(c: Column) -> Column:
 def paragraphs(c: Column) -> Column:
     """Paragraphs, the stripped lines of each joined by a space."""
     cut = F.split(F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\r", "\n"), r"\n{2,}")
-    lines = lambda p: F.filter(F.transform(F.split(p, "\n"), F.trim), lambda x: x != "")
+    lines = lambda p: F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(F.transform(cut, lambda p: F.array_join(lines(p), " ")), lambda x: x != "")
 
 
 def section_title(c: Column) -> Column:
-    line = F.try_element_at(F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != ""), F.lit(1))
+    line = F.try_element_at(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1))
     return F.when(F.length(line) > 120, F.concat(F.rtrim(F.substring(line, 1, 117)), F.lit("..."))).otherwise(line)
 
 
@@ -228,12 +252,11 @@ def wants_phone(c: Column) -> Column:
 
 def department_hint(c: Column) -> Column:
     """A department that the question names outright, else null."""
-    q, has = fold(c), lambda *ws: F.greatest(*[fold(c).contains(w) for w in ws])
-    return (
-        F.when(has("computacao", "comp.", "bcc", "bsi", "dco"), "computacao")
-        .when(has("psicologia", "dpsi"), "psicologia")
-        .when(q.contains("biologia") | q.contains("dcb"), "biologia")
-    )
+    out, q = None, fold(c)
+    for slug, told in HINT_WORDS.items():
+        hit = F.greatest(*[q.contains(w) for w in told])
+        out = F.when(hit, slug) if out is None else out.when(hit, slug)
+    return out
 
 
 def triage(c: Column) -> Column:
@@ -277,6 +300,11 @@ def sigmoid_confidence(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(0.0)).when(c.between(0, 1), c).otherwise(1 / (1 + F.exp(-c)))
 
 
+def diversity_weight(question: Column, lam: float, lam_short: float) -> Column:
+    """The weight of relevance against diversity: the smaller one for questions of six words or fewer."""
+    return F.when(F.size(letters(question)) <= 6, min(lam, lam_short)).otherwise(lam)
+
+
 def safe_score(c: Column) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(float("-inf")))
 

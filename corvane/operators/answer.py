@@ -94,7 +94,7 @@ def retry_query(questions: DataFrame, hits: DataFrame, ontology: Ontology) -> Da
     seen = hits.filter("lexical_rank <= 3").select("query_id", "lexical_rank", F.concat(F.array_compact(F.array("sector")), F.coalesce("siglas", empty), words).alias("xs"))
     seen = seen.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("lexical_rank", "xs"))).alias("l"))
     rows = questions.join(seen, "query_id", "left").withColumn("all", F.concat(F.flatten(F.array(*syn)) if syn else empty, F.coalesce(F.flatten(F.transform("l", lambda s: s["xs"])), empty)))
-    fresh = F.filter(F.transform("all", F.trim), lambda x: (x != "") & ~q.contains(T.fold(x)))
+    fresh = F.filter(F.transform("all", lambda x: F.trim(x)), lambda x: (x != "") & ~q.contains(T.fold(x)))
     # one row a question; the aggregation keeps the array from being worked out again for each of its elements
     rows = rows.withColumn("fresh", fresh).groupBy("query_id").agg(F.first("question").alias("question"), F.first("fresh").alias("fresh"))
     more = F.array_join(F.slice(T.first_spellings(F.col("fresh")), 1, 3), " ")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
+from ..functions import text as T
+
 SCHEMA = "namespace string, key string, value_json string, stored_at timestamp, expires_at timestamp"
 
 
@@ -34,3 +39,22 @@ def invalidate(cache: DataFrame, namespace: str | None = None) -> tuple[DataFram
     """(what stays, (namespace, removed) counts) without a namespace, or without any."""
     gone = cache if namespace is None else cache.filter(F.col("namespace") == namespace)
     return (cache.limit(0) if namespace is None else cache.filter(F.col("namespace") != namespace)), gone.groupBy("namespace").agg(F.count("*").alias("removed"))
+
+
+def query_payload(question: Column, settings: Settings, index_version: Column, models: dict[str, str] | None = None) -> dict[str, Column]:
+    """The fields that an answer depends on, for :func:`key`: the normalised question, the settings, the index' version and
+    the models' names."""
+    own = {f"setting_{f.name}": F.lit(getattr(settings, f.name)) for f in dataclasses.fields(settings)}
+    return own | {f"model_{k}": F.lit(v) for k, v in (models or {}).items()} | {"question": T.cache_form(F.coalesce(question, F.lit(""))), "index_version": index_version.cast("string")}
+
+
+def agent_payload(question: Column, messages: Column, settings: Settings, index_version: Column, agent_version: str = "1", models: dict[str, str] | None = None) -> dict[str, Column]:
+    """:func:`query_payload` and the normalised messages (array<struct<role, text>>) and the agent's version."""
+    role = lambda m: F.coalesce(F.nullif(F.lower(F.trim(m["role"])), F.lit("")), F.lit("user"))
+    said = F.transform(messages, lambda m: F.struct(role(m).alias("role"), T.cache_form(F.coalesce(m["text"], F.lit(""))).alias("content")))
+    return query_payload(question, settings, index_version, models) | {"messages": said, "agent_version": F.lit(agent_version)}
+
+
+def cacheable(answers: DataFrame) -> DataFrame:
+    """Answers that may be stored: neither asked for with ``debug`` nor with an ``error``."""
+    return answers.filter(~F.coalesce("debug", F.lit(False)) & F.col("error").isNull())

@@ -16,6 +16,7 @@ from ..shipping import ship
 # fixed values: words whose full stop ends no sentence; pieces of over-long sentences
 ABBREVIATIONS = ("sr", "sra", "srta", "prof", "profa", "profª", "prof.", "dra", "dr", "d.", "etc", "dti", "staepe", "stpg")
 SEPARATORS = ("; ", ", ", " ", "")
+_LONGEST, _INK = max(map(len, ABBREVIATIONS)), re.compile(r"\S")
 _PROTECTED = [re.compile(p) for p in (T.EMAIL, T.PHONE, T.URL, T.ACRONYM)]
 
 
@@ -25,21 +26,31 @@ def split_paragraphs(text: str) -> list[str]:
     return [p for p in flat if p]
 
 
+def _ends_sentence(paragraph: str, at: int) -> bool:
+    """Whether the mark at ``at`` follows a word that is no abbreviation and stands before a capital. Looks back over one
+    word and ahead over one gap only."""
+    end = at
+    while end and paragraph[end - 1].isspace():
+        end -= 1
+    if not end:
+        return False
+    start = end
+    while start and (paragraph[start - 1].isalnum() or paragraph[start - 1] in "-_"):
+        start -= 1
+    if end - start <= _LONGEST and paragraph[start:end].lower() in ABBREVIATIONS:
+        return False
+    after = _INK.search(paragraph, at + 1)
+    return after is not None and after.group().isupper()
+
+
 def split_sentences(paragraph: str) -> list[str]:
-    """Cuts after ``.``, ``?`` and ``!`` where the word before is no abbreviation and a capital (or nothing) follows."""
+    """Cuts after ``.``, ``?`` and ``!`` where the word before is no abbreviation and a capital follows."""
     out, start = [], 0
     for m in re.finditer(r"[.?!]", paragraph):
-        end = m.end()
-        rest = paragraph[end:].lstrip()
-        words = paragraph[: m.start()].split()
-        last = words[-1].lower().strip("()[]\"'") if words else ""
-        if m.group() == "." and (last in ABBREVIATIONS or last.rstrip(".") in ABBREVIATIONS):
-            continue
-        if rest and not rest[0].isupper():
-            continue
-        if sentence := paragraph[start:end].strip():
-            out.append(sentence)
-        start = end
+        if _ends_sentence(paragraph, m.start()):
+            if sentence := paragraph[start : m.end()].strip():
+                out.append(sentence)
+            start = m.end()
     if sentence := paragraph[start:].strip():
         out.append(sentence)
     return out
@@ -77,6 +88,7 @@ def pack(text: str, size: int, overlap: int) -> list[tuple[str, int]]:
     whole sentences that has ``overlap`` tokens (which may take it past ``size``). A sentence longer than ``size``
     tokens stands alone, cut to ``size`` characters unless it holds a protected span."""
     held: list[tuple[str, int]] = []
+    total = 0
     out: list[list[tuple[str, int]]] = []
     for s in (s for p in split_paragraphs(text) for s in split_sentences(p)):
         n = len(s.split())
@@ -85,19 +97,19 @@ def pack(text: str, size: int, overlap: int) -> list[tuple[str, int]]:
         if n > size:
             if held:
                 out.append(held)
-            held = []
+            held, total = [], 0
             pieces = [s] if any(p.search(s) for p in _PROTECTED) else cut_characters(s, size)
             out += [[(p, len(p.split()))] for p in pieces]
-        elif sum(k for _, k in held) + n <= size:
+        elif total + n <= size:
             held.append((s, n))
+            total += n
         else:
             out.append(held)
-            tail: list[tuple[str, int]] = []
-            for x in reversed(held):
-                if overlap <= 0 or sum(k for _, k in tail) >= overlap:
-                    break
-                tail.insert(0, x)
-            held = [*tail, (s, n)]
+            tail, kept = len(held), 0
+            while tail and kept < overlap:
+                tail -= 1
+                kept += held[tail][1]
+            held, total = [*held[tail:], (s, n)], kept + n
     if held:
         out.append(held)
     if not out:

@@ -50,6 +50,7 @@ def mmr_order(relevance: list[float], texts: list[str], k: int, lam: float) -> l
     """Positions chosen one by one by lam * relevance - (1 - lam) * likeness to what is chosen; the first of equals."""
     from ..functions.fuzzy import token_set_ratio
 
+    lam = min(1.0, lam)
     if len(relevance) <= k or lam <= 0:
         return list(range(len(relevance)))
     chosen: list[int] = []
@@ -74,11 +75,10 @@ def diversify(ranked: DataFrame, k: int, lam: float = 0.3, lam_short: float = 0.
     from ..functions import text as T
 
     ship(ranked.sparkSession)
-    few = F.size(T.letters(F.col("question"))) <= 6
     rows = ranked.select(
         "query_id", "doc_id", "place", F.substring(T.fold(F.coalesce("text", F.lit(""))), 1, 512).alias("t"),
         F.when(F.coalesce("vector_score", F.lit(0.0)) > 0, F.col("vector_score")).otherwise(F.coalesce("lexical_score", F.lit(0.0))).alias("s"),
-        F.when(few, min(lam, lam_short)).otherwise(lam).alias("lam"),
+        T.diversity_weight(F.col("question"), lam, lam_short).alias("lam"),
     )
 
     def choose(part: pa.Table) -> pa.Table:

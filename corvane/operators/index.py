@@ -15,7 +15,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclasses.dataclass
 class LexicalIndex:
-    """postings (term, doc_id, tf), doc_len (doc_id, dl), term_stats (term, df, idf) and the corpus row (n, avgdl)."""
+    """postings (term, doc_id, tf, dl), doc_len (doc_id, dl), term_stats (term, df, idf) and the corpus row (n, avgdl)."""
 
     postings: DataFrame
     doc_len: DataFrame
@@ -37,7 +37,9 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Lexica
     several of the tables are made from them."""
     words = settle(docs.select(F.col(doc_id).alias("doc_id"), T.bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("ws")), "tokens")
     doc_len = words.select("doc_id", F.size("ws").alias("dl"))
-    postings = settle(words.select("doc_id", F.explode("ws").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "postings")
+    # dl rides along with each posting: a query needs no join for it
+    rows = words.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
+    postings = settle(rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sum("dl").alias("_dl")).select("term", "doc_id", "tf", (F.col("_dl") / F.col("tf")).cast("int").alias("dl")), "postings")
     corpus = doc_len.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(corpus)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))

@@ -7,31 +7,47 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ontology import Ontology
+from ..shared import settle
 
 
-def contact_index(docs: DataFrame, ontology: Ontology | None = None) -> tuple[DataFrame, DataFrame]:
+#: Phones, e-mails, departments and citations of one name that its entry lists.
+MOST = 1000
+
+
+def listed(rows: DataFrame, key: str, name: str, most: int = MOST) -> DataFrame:
+    """(key, name): the different values ``x`` of each key as a sorted array, the first ``most``. Values combine before they
+    are shuffled, and no array grows with the number of rows."""
+    different = rows.filter("x is not null").distinct()
+    first = different.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("x"))).filter(F.col("_n") <= most)
+    return first.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias(name))
+
+
+def contact_index(docs: DataFrame, ontology: Ontology | None = None, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(contacts, aliases) of documents (source, chunk, text).
 
     A block whose first line is a person's name and which holds a phone or e-mail is an entry; entries of one folded
-    name are united. ``aliases`` (alias, canonical) holds the name, its words of four letters or more, and the
+    name are united, up to ``most`` phones, e-mails, departments and citations each. ``aliases`` (alias, canonical) holds the name, its words of four letters or more, and the
     dictionary's aliases of any of its words; an alias of several people belongs to the alphabetically first.
     """
     ontology = ontology or Ontology()
     body = F.explode(T.blocks(F.col("text")))
     rows = docs.select("source", "chunk", F.col("text").alias("_all"), body.alias("block"))
-    first = F.try_element_at(F.filter(F.transform(F.split("block", "\n"), F.trim), lambda x: x != ""), F.lit(1))
+    first = F.try_element_at(F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1))
     rows = rows.withColumn("name", T.clean_name(first)).filter("name is not null").filter(~T.generic_name(F.col("name")))
     rows = rows.withColumn("phones", T.phones(F.col("block"), T.PHONE_IN_QUESTION)).withColumn("emails", T.emails(F.col("block")))
     rows = rows.filter((F.size("phones") > 0) | (F.size("emails") > 0))
     dept = ontology.first_match(T.fold(F.coalesce("source", F.lit(""))))
     cite = F.struct("source", "chunk", F.substring(T.squeeze(F.col("_all")), 1, 180).alias("preview"))
     rows = rows.select(T.fold(F.col("name")).alias("canonical"), "name", "phones", "emails", dept.alias("d"), cite.alias("c"))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    contacts = rows.groupBy("canonical").agg(
-        F.min("name").alias("name"), union("phones").alias("phones"), union("emails").alias("emails"),
-        F.array_sort(F.collect_set("d.label")).alias("departments"), F.array_sort(F.collect_set("d.slug")).alias("dept_slugs"),
-        F.array_sort(F.collect_set("c")).alias("citations"),
-    )
+    rows = settle(rows, "contact-blocks")
+    contacts = rows.groupBy("canonical").agg(F.min("name").alias("name"))
+    for name, value in (
+        ("phones", F.explode("phones")), ("emails", F.explode("emails")), ("departments", F.col("d.label")), ("dept_slugs", F.col("d.slug")), ("citations", F.col("c")),
+    ):
+        contacts = contacts.join(listed(rows.select("canonical", value.alias("x")), "canonical", name, most), "canonical", "left")
+    kinds = dict(contacts.dtypes)
+    lists = ("phones", "emails", "departments", "dept_slugs", "citations")
+    contacts = contacts.select("canonical", "name", *[F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in lists])
     words = F.transform(T.letters(F.col("name")), T.fold)
     own = F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*T.GENERIC_NAME_TOKENS))
     told = []
@@ -105,8 +121,8 @@ def person_block(text: Column, term: Column) -> Column:
 
 
 def people_candidates(hits: DataFrame, ontology: Ontology | None = None) -> DataFrame:
-    """People behind lexical hits (query_id, question, doc_id, source, chunk, text, score), one row a name and
-    department: best score, united contacts, documents, snippets; ``candidate`` ranks them by score.
+    """People behind lexical hits (query_id, question, doc_id, source, chunk, text, score, and if known the ``sentence``s that
+    match), one row a name and department: best score, united contacts, documents, snippets; ``candidate`` ranks them by score.
 
     A question with a name keeps hits whose name has a word at .9 or more of it; without one, hits with a contact.
     """
@@ -120,7 +136,9 @@ def people_candidates(hits: DataFrame, ontology: Ontology | None = None) -> Data
     target = F.coalesce("name", "term")
     block = F.when(target != "", person_block(F.col("text"), target))
     window = T.context_window(F.col("text"), F.col("name"), 100, 200)
-    rows = rows.withColumn("snippet", F.coalesce(block, window, T.squeeze(F.substring("text", 1, 320))))
+    # sentences that match the question, where a hit has them; else how the text opens
+    matched = F.nullif(T.squeeze(F.col("sentence")), F.lit("")) if "sentence" in hits.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("snippet", F.coalesce(block, window, matched, T.squeeze(F.substring("text", 1, 320))))
     rows = rows.withColumn("phones", T.phones(F.col("snippet"), T.PHONE_IN_QUESTION)).withColumn("emails", T.emails(F.col("snippet")))
     near = F.exists(T.letters(F.col("name")), lambda w: T.similarity(T.fold(w), T.fold(F.col("term"))) >= 0.9)
     has = (F.size("phones") > 0) | (F.size("emails") > 0)

@@ -9,7 +9,8 @@ from ..functions import text as T
 from ..functions.models import score_pairs
 from ..functions.ontology import Ontology
 
-# fixed values: words that ask for a contact, and words that name nobody
+# fixed values: bonuses, words that ask for a contact, and words that name nobody
+NAMED, PHONED, BOTH, STAFF_PAGE = 10.0, 6.0, 12.0, 4.0
 CONTACT_WORDS = ("telefone", "tel", "ramal", "contato", "numero", "número", "celular", "whatsapp")
 NOT_NAMES = (
     "computacao", "computação", "comp", "bcc", "bsi", "departamento", "departamentos", "curso", "cursos", "faculdade", "secao", "seção", "stgp",
@@ -47,7 +48,7 @@ def contact_bonus(ranked: DataFrame, ontology: Ontology | None = None) -> DataFr
     asking = ranked.select("query_id", "question").distinct().filter(T.contains_any(F.col("question"), CONTACT_WORDS))
     names = F.filter(F.transform(T.candidate_terms(F.col("question")), T.fold), lambda t: (F.length(t) >= 4) & t.rlike(r"^\p{L}+$") & ~t.isin(*map(T.fold_text, NOT_NAMES)))
     # one row a question, joined: the terms are not worked out again for each text
-    ranked = ranked.join(F.broadcast(asking.select("query_id", names.alias("_terms"))), "query_id", "left")
+    ranked = ranked.join(asking.select("query_id", names.alias("_terms")), "query_id", "left")
     terms, text = F.coalesce("_terms", F.array().cast("array<string>")), T.fold(F.coalesce("text", F.lit("")))
     named = F.exists(terms, lambda t: text.contains(t))
     for group in groups.values():
@@ -56,8 +57,8 @@ def contact_bonus(ranked: DataFrame, ontology: Ontology | None = None) -> DataFr
     phone = F.coalesce("text", F.lit("")).rlike(T.PHONE_IN_QUESTION)
     source = F.coalesce("source", F.lit(""))
     bonus = (
-        F.when(named, 10.0).otherwise(-10.0) + F.when(phone, 6.0).otherwise(-6.0) + F.when(named & phone, 12.0).otherwise(0.0)
-        + F.when(source.contains("docentes") & source.contains("dep_"), 4.0).otherwise(0.0)
+        F.when(named, NAMED).otherwise(-NAMED) + F.when(phone, PHONED).otherwise(-PHONED) + F.when(named & phone, BOTH).otherwise(0.0)
+        + F.when(source.contains("docentes") & source.contains("dep_"), STAFF_PAGE).otherwise(0.0)
     )
     out = ranked.withColumn("bonus", F.when(F.col("_terms").isNotNull(), bonus).otherwise(0.0)).drop("_terms").withColumn("score", F.col("score") + F.col("bonus"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "final_rank")

@@ -13,6 +13,12 @@ def counters(events: DataFrame, by: list[str] | None = None, kind: str = "event_
     return events.groupBy(*(by or []), kind).agg(F.count("*").alias("n"))
 
 
+def snapshot(events: DataFrame, ts: str = "ts", kind: str = "event_type") -> DataFrame:
+    """Each kind's events, and the whole seconds between its first and its last."""
+    at = lambda f: F.unix_micros(f(F.col(ts).cast("timestamp")))
+    return events.groupBy(kind).agg(F.count("*").alias("n"), F.round((at(F.max) - at(F.min)) / 1e6).cast("long").alias("busy_s"))
+
+
 def outcomes(answers: DataFrame, low: float = 0.32) -> DataFrame:
     """Counters of answers (answer, context_found, confidence, needs_clarification, cache_hit, refine_attempts, refine_success)."""
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))

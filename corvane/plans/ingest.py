@@ -9,7 +9,7 @@ from ..config import Settings
 from ..functions import text as T
 from ..functions.models import embed_texts
 from ..functions.ontology import Ontology
-from ..operators import chunking, index
+from ..operators import cache, chunking, index
 from ..shared import settle
 from ..sources import files, tables
 
@@ -38,17 +38,27 @@ def version(spark: SparkSession, path: str) -> int:
     return rows[0].version if rows else 0
 
 
-def rebuild(spark: SparkSession, folder: str, path: str, settings: Settings | None = None, ontology: Ontology | None = None, embedder=None) -> None:
-    found = files.scan(spark, folder)
+def rebuild(spark: SparkSession, folder: str, path: str, settings: Settings | None = None, ontology: Ontology | None = None, embedder=None, cache_path: str | None = None) -> None:
+    # the folder is read once: manifest and chunks agree whatever changes meanwhile
+    found = settle(files.scan(spark, folder), "files")
     _save(spark, path, _chunks(found, settings or Settings(), ontology, embedder), _manifest(found), version(spark, path))
+    forget(spark, cache_path)
+
+
+def forget(spark: SparkSession, cache_path: str | None) -> None:
+    """Drop the cached answers of queries and agents below ``cache_path``: the index that they came from is replaced."""
+    if cache_path:
+        held = settle(cache.invalidate(cache.invalidate(tables.read_or_empty(spark, cache_path, cache.SCHEMA), "query")[0], "agent")[0], "cache")
+        held.write.mode("overwrite").parquet(cache_path)
 
 
-def update(spark: SparkSession, folder: str, path: str, settings: Settings | None = None, ontology: Ontology | None = None, embedder=None) -> dict[str, int]:
-    """Bring the tables up to date with the folder; counts of files by status. Nothing is written if nothing changed."""
+def update(spark: SparkSession, folder: str, path: str, settings: Settings | None = None, ontology: Ontology | None = None, embedder=None, cache_path: str | None = None) -> dict[str, int]:
+    """Bring the tables up to date with the folder; counts of files by status. Nothing is written if nothing changed; else
+    cached answers below ``cache_path`` are dropped."""
     now = version(spark, path)
     if not now:
-        rebuild(spark, folder, path, settings, ontology, embedder)
-        return {"new": files.scan(spark, folder).count()}
+        rebuild(spark, folder, path, settings, ontology, embedder, cache_path)
+        return {"new": spark.read.parquet(f"{path}/v{version(spark, path)}/manifest").count()}
     found = files.scan(spark, folder)
     manifest = spark.read.parquet(f"{path}/v{now}/manifest")
     status = settle(tables.diff(found.select(F.col("source").alias("source_file"), "file_hash"), manifest), "status")
@@ -56,9 +66,10 @@ def update(spark: SparkSession, folder: str, path: str, settings: Settings | Non
     if set(counts) <= {"unchanged"}:
         return counts
     add, gone = status.filter("status in ('new', 'modified')"), status.filter("status in ('deleted', 'modified')")
-    fresh = found.join(F.broadcast(add.select(F.col("source_file").alias("source"))), "source", "left_semi")
+    fresh = settle(found.join(add.select(F.col("source_file").alias("source")), "source", "left_semi"), "files")
     kept = tables.without(spark.read.parquet(f"{path}/v{now}/chunks").withColumnRenamed("source", "source_file"), gone).withColumnRenamed("source_file", "source")
     chunks = kept.unionByName(_chunks(fresh, settings or Settings(), ontology, embedder))
     rows = tables.upsert(tables.without(manifest, status.filter("status = 'deleted'")), _manifest(fresh))
     _save(spark, path, chunks, rows, now)
+    forget(spark, cache_path)
     return counts

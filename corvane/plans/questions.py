@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import text as T
 from ..functions.models import embed_texts
 from ..functions.ontology import Ontology
 from ..operators import answer as A
@@ -46,7 +45,7 @@ def retrieve_round(questions: DataFrame, corpus: Corpus, settings: Settings, emb
     fused = fused.select("query_id", "doc_id", "fused_rank")
     full = fused.join(corpus.chunks, "doc_id").join(near.select("query_id", "doc_id", "vector_score"), ["query_id", "doc_id"], "left")
     full = full.join(lexical.select("query_id", "doc_id", F.col("score").alias("lexical_score")), ["query_id", "doc_id"], "left")
-    capped = fuse.cap_by(full, settings.max_per_source).join(F.broadcast(questions.select("query_id", "question")), "query_id")
+    capped = fuse.cap_by(full, settings.max_per_source).join(questions.select("query_id", "question"), "query_id")
     capped = settle(capped, "candidates")
     chosen = fuse.diversify(capped, max(settings.top_k, settings.fetch_k), settings.mmr_lambda, settings.mmr_lambda_short)
     kept = capped.drop("place").join(chosen.withColumnRenamed("mmr_rank", "place"), ["query_id", "doc_id"])
@@ -78,7 +77,9 @@ def answer(questions: DataFrame, corpus: Corpus, settings: Settings | None = Non
     ranked = settle(retrieve_round(rest, corpus, settings, embedder, model, scorer, lexical), "ranked")
     conf = settle(rank.confidence(ranked, rest, settings.confidence_min), "confidence")
     found = settle(lexical.join(corpus.chunks, "doc_id").join(rest, "query_id"), "hits")
-    sents = found.withColumn("sentence", F.get(T.sentences(F.col("text")), F.lit(0)))
+    matched = settle(retrieve.matching_sentences(found, rest, corpus.ontology, settings.lexical_threshold), "matched")
+    found = settle(found.join(matched, ["query_id", "doc_id"], "left"), "hits")
+    sents = found
     has = set(corpus.chunks.columns)
     for name, kind in (("sector", "string"), ("siglas", "array<string>")):
         if name not in has:

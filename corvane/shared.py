@@ -5,18 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder; a cluster is
+    refused, as its executors don't share one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corvane/{label}-{uuid.uuid4().hex}"
 
 
+def write_bytes(path: str, data: bytes) -> None:
+    """A small file of the driver's in shared storage."""
+    store, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(name, compression=None) as out:
+        out.write(data)
+
+
+def read_bytes(path: str) -> bytes:
+    store, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    with store.open_input_file(name) as f:
+        return f.read()
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a result and read it back: what comes after plans on a plain table, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, label)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 import re
+import types
 import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -121,11 +123,51 @@ def load(files: DataFrame, readers: dict[str, list[Callable[[bytes], str]]] | No
         return pd.DataFrame(out, columns=["text", "error"])
 
     direct = [e for e in (*PLAIN, ".md") if e not in own]
-    plain = files.filter(F.col("file_ext").isin(*direct)).select("source", "file_ext", "file_hash", decode_text("content").alias("text"), F.lit(None).cast("string").alias("error"))
+    body = decode_text("content")
+    body = F.when(F.col("file_ext") == ".md", strip_markdown(body)).otherwise(body)
+    plain = files.filter(F.col("file_ext").isin(*direct)).select("source", "file_ext", "file_hash", body.alias("text"), F.lit(None).cast("string").alias("error"))
     parsed = files.filter(~F.col("file_ext").isin(*direct)).withColumn("p", parse("file_ext", "content")).select("source", "file_ext", "file_hash", "p.text", "p.error")
     return plain.unionByName(parsed).withColumn("url", leading_url(F.col("text")))
 
 
+def plugins(folder: str) -> dict[str, list[Callable[[bytes], str]]]:
+    """Readers for :func:`load` from the Python files of a folder, in the order of their names: a function ``read_<ext>``
+    serves that extension, a function ``load`` every extension, after those."""
+    own: dict[str, list] = {}
+    general = []
+    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else ():
+        if not name.endswith(".py") or name.startswith("_"):
+            continue
+        # not entered among the modules, so its functions travel to the executors by value
+        module = types.ModuleType(f"corvane_plugin_{name[:-3]}")
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            exec(compile(f.read(), name, "exec"), module.__dict__)  # noqa: S102  the user's own folder
+        for k, fn in vars(module).items():
+            if k.startswith("read_") and callable(fn):
+                own.setdefault(f".{k[5:].lower()}", []).append(fn)
+            elif k == "load" and callable(fn):
+                general.append(fn)
+    return {ext: [*own.get(ext, []), *general] for ext in {*own, *(EXTENSIONS if general else ())}}
+
+
+def read_prompt(path: str) -> str:
+    """A prompt file's text; empty if it can't be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    except (OSError, UnicodeDecodeError):
+        return ""
+
+
+def strip_markdown(c):
+    """Markdown without its marks: fences, headings, quotes, list signs, emphasis; links and images as their text."""
+    c = F.regexp_replace(c, r"(?m)^[ \t]*(```|~~~).*$\n?", "")
+    c = F.regexp_replace(c, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    c = F.regexp_replace(c, r"(?m)^[ \t]*(#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d+[.)][ \t]+)", "")
+    c = F.regexp_replace(c, r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2")
+    return F.regexp_replace(F.regexp_replace(c, r"(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*(?![\w*])", "$1"), r"`([^`\n]+)`", "$1")
+
+
 def or_sentinel(docs: DataFrame) -> DataFrame:
     """``docs``, or one placeholder document if there is none with text."""
     one = docs.sparkSession.createDataFrame([("vazio", SENTINEL)], "source string, text string")
@@ -150,12 +192,24 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.option("multiLine", path.endswith(".json")).json(path)
         kind = dict(raw.dtypes).get("ground_truth", "string")
         out = raw.select("question", (F.col("ground_truth") if kind.startswith("array") else F.array(F.col("ground_truth").cast("string"))).alias("g"))
-    out = out.select(F.trim("question").alias("question"), F.filter(F.transform("g", F.trim), lambda x: F.coalesce(x, F.lit("")) != "").alias("ground_truth"))
-    return out.filter(F.coalesce("question", F.lit("")) != "")
-
-
-def write_events(events: DataFrame, path: str) -> None:
-    """Append telemetry rows as JSON lines, each stamped in UTC."""
+    out = out.select(F.trim("question").alias("question"), F.filter(F.transform("g", lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "").alias("ground_truth"))
+    out = out.filter(F.coalesce("question", F.lit("")) != "")
+    if out.isEmpty():
+        raise ValueError(f"no questions in {path}")
+    return out
+
+
+def write_events(events: DataFrame, path: str, max_bytes: int = 10 << 20, keep: int = 5) -> None:
+    """Append telemetry rows as JSON lines, each stamped in UTC. A folder that holds ``max_bytes`` or more is first renamed
+    to ``path.1``, that to ``path.2`` and so on; the ``keep`` youngest stay."""
+    spark = events.sparkSession
+    at = lambda k: spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{k}" if k else path)
+    store = at(0).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(at(0)) and store.getContentSummary(at(0)).getLength() >= max_bytes:
+        store.delete(at(keep), True)
+        for k in range(keep - 1, -1, -1):
+            if store.exists(at(k)):
+                store.rename(at(k), at(k + 1))
     events.withColumn("ts_iso", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(path)
 
 

@@ -30,3 +30,12 @@ def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, manifest: C
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     rows = files.select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"), F.col("modificationTime").alias("processed_at"))
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: save(upsert(manifest(), batch)))
+
+
+def ingest_folder_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, **options):
+    """Files that arrive below ``folder`` into chunks, vectors and index tables under ``path``: each batch of new files sets
+    off one update of what has changed (``options`` as for :func:`corvane.plans.ingest.update`)."""
+    from ..plans import ingest
+
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    return files.select("path").writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: ingest.update(spark, folder, path, **options) and None)
