@@ -5,7 +5,8 @@ are dealt to shards by a vantage-point tree: a node splits at the median Hamming
 the tree's points come from a bounded sample, which decides the balance only. A fingerprint lives in one shard and
 is asked in every shard that its ball of ``radius`` bits reaches (``d <= mu + radius`` and ``d > mu - radius``, the
 triangle bounds), so every pair within the radius meets in one of the two home shards. Inside a shard the same
-splits go on until few points are left, which are compared in full.
+splits go on until few points are left, which are compared in full. A shard that no split makes smaller (a family of
+points with one value) is cut: its home points go to several tasks, each of which takes a part of the points that ask.
 
 A shard returns a spanning forest of its links, never all pairs, and the forests are joined into components by
 alternating large-star and small-star steps over tables in shared storage.
@@ -206,9 +207,9 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, b, a)
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, radius: int, sketches: np.ndarray | None = None, bits: int = 0) -> np.ndarray:
-    """For each point the index of its root among the points that links with home points connect. With ``sketches``
-    (rows of numbers) a link needs them to be within ``bits`` as well."""
+def link_shard(points: np.ndarray, home: np.ndarray, radius: int, sketches: np.ndarray | None = None, bits: int = 0, asks: np.ndarray | None = None) -> np.ndarray:
+    """For each point the index of its root among the points that links of home points with those that ask (all, or where
+    ``asks``) connect. With ``sketches`` (rows of numbers) a link needs them to be within ``bits`` as well."""
     parent = np.arange(len(points))
 
     def compare(own: np.ndarray, ask: np.ndarray) -> None:
@@ -223,7 +224,7 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int, sketches: np.n
                 a, b = a[near], b[near]
             _union(parent, a, b)
 
-    stack = [(np.flatnonzero(home), np.arange(len(points)))]
+    stack = [(np.flatnonzero(home), np.arange(len(points)) if asks is None else np.flatnonzero(asks))]
     while stack:
         own, ask = stack.pop()
         if not len(own) or not len(ask):
@@ -259,6 +260,18 @@ def _tree_of(points: DataFrame, value, shard_points: int):
     return build_tree(sample, depth)
 
 
+def cut_shards(dealt: DataFrame, most: int) -> DataFrame:
+    """Rows (shard, fp, home, ...) of a shard with ``part`` and ``asks``. A shard of more than ``most`` rows has several
+    parts: a row asks in one of them, and home rows are in all."""
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    # rows are at least ``most`` times as many as these
+    sizes = materialise(sizes.select(F.col("shard").alias("_shard"), F.ceil(F.col("n") / most).cast("int").alias("_parts")), "large-shards")
+    rows = dealt.join(F.broadcast(sizes), F.col("shard") == F.col("_shard"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("_parts")).cast("int")
+    rows = rows.withColumn("_own", own).withColumn("part", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array("_own"))))
+    return rows.withColumn("asks", F.col("part") == F.col("_own")).drop("_shard", "_parts", "_own")
+
+
 def similar_links(points: DataFrame, bits: int, shard_points: int = 4 * SHARD_POINTS) -> DataFrame:
     """Edges (a, b) among distinct points ``fp`` (a name), ``word`` (fingerprint of words) and ``sketch``."""
     out = None
@@ -277,12 +290,12 @@ def similar_links(points: DataFrame, bits: int, shard_points: int = 4 * SHARD_PO
             order = part.sort_by([("fp", "ascending"), ("home", "descending")])
             fps = order.column("fp").to_numpy().astype(np.int64)
             sketches = np.frombuffer(b"".join(order.column("sketch").to_pylist()), "<u8").reshape(-1, WIDE)
-            root = link_shard(order.column("half").to_numpy().astype(np.uint64), order.column("home").to_numpy(), RADIUS, sketches, bits)
+            root = link_shard(order.column("half").to_numpy().astype(np.uint64), order.column("home").to_numpy(), RADIUS, sketches, bits, order.column("asks").to_numpy())
             tied = np.flatnonzero(root != np.arange(len(root)))
             return pa.table({"a": pa.array(fps[tied]), "b": pa.array(fps[root[tied]])})
 
         dealt = map_arrow(points.select("fp", half.alias("half"), "sketch"), deal, "shard long, fp long, half long, sketch binary, home boolean")
-        edges = dealt.groupBy("shard").applyInArrow(link, "a long, b long")
+        edges = cut_shards(dealt, 8 * shard_points).groupBy("shard", "part").applyInArrow(link, "a long, b long")
         out = edges if out is None else out.unionByName(edges)
     return out
 
@@ -300,12 +313,12 @@ def vp_links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_
     def link(part: pa.Table) -> pa.Table:
         order = part.sort_by([("fp", "ascending"), ("home", "descending")])
         fps = order.column("fp").to_numpy().astype(np.int64)
-        root = link_shard(fps.view(np.uint64), order.column("home").to_numpy(), radius)
+        root = link_shard(fps.view(np.uint64), order.column("home").to_numpy(), radius, asks=order.column("asks").to_numpy())
         tied = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(fps[tied]), "b": pa.array(fps[root[tied]])})
 
     dealt = map_arrow(points.select("fp"), deal, "shard long, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(link, "a long, b long")
+    return cut_shards(dealt, 8 * shard_points).groupBy("shard", "part").applyInArrow(link, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -199,3 +199,19 @@ def test_items_in_blocks(spark):
         got = decontaminate.find_items(a, b, block_bytes=size).collect()
         assert sorted((str(r.doc_id), r._n_words, r._n_hit, list(r._items)) for r in got) == sorted(want)
     assert any(n for _, _, n, _ in want) and any(not n for _, _, n, _ in want)
+
+
+# ---- shards that no split makes smaller ----
+def test_family_of_one_half_in_several_tasks(spark):
+    from corvane.llm import simhash
+
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 1 << 62, 4).astype("<u8") for _ in range(30)]
+    rows = [(k, int(rng.integers(0, 1 << 30)) << 32 | 77, bytearray((base[k % 30] ^ np.array([k // 30, 0, 0, 0], "<u8")).tobytes())) for k in range(240)]
+    points = spark.createDataFrame(rows, "fp long, word long, sketch binary")
+    got = simhash.similar_links(points, 8, shard_points=4).collect()
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(got, "a long, b long")).collect()}
+    assert {k: roots.get(k, k) for k in range(240)} == {k: k % 30 for k in range(240)}
+    dealt = spark.range(100).select(F.lit(1).cast("long").alias("shard"), F.col("id").alias("fp"), (F.col("id") < 60).alias("home"))
+    cut = simhash.cut_shards(dealt, 16).cache()
+    assert cut.select("part").distinct().count() == 7 and cut.filter("asks").count() == 100 and cut.filter("home").count() == 420
