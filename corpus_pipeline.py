@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
 columns of ``documents``. Null and empty texts have no language and leave in the first stage; an empty table passes
-through as an empty table.
+through as an empty table. Repeated rows are near-copies of each other, and one stays; of a group of near-copies the
+smallest id stays, of rows that share it the one whose hash of id and text is least. Null ids come after all others.
+Columns may have any names: stages carry them as one, and the last stage's own columns get an underscore where a name
+is taken. ``ORACLE_SQL`` is None: SQL has no SimHash or Viterbi; each stage is tested against brute force instead.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, language_id, line_dedup, pieces, simhash
-from corvane.llm.common import shared_path, table
+from corvane.llm.common import free_name, shared_path, table
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -53,11 +56,10 @@ def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode each text into piece ids; ``text`` is what they decode to."""
+    """Encode each text into piece ids; ``text`` is what they decode to. Adds ``piece_ids``, ``n_pieces`` and ``exact``."""
     out = pieces.encode_texts(pack(docs))
-    own = {c.lower() for c in docs.columns}
     added = {"piece_ids": F.col("_ids"), "n_pieces": F.size("_ids").cast("long"), "exact": F.col("_exact")}
-    return out.select(*unpack(out, docs, text=F.col("_decoded")), *[v.alias(k) for k, v in added.items() if k not in own])
+    return out.select(*unpack(out, docs, text=F.col("_decoded")), *[v.alias(free_name(docs, k)) for k, v in added.items()])
 
 
 STAGES = [
