@@ -215,3 +215,32 @@ def test_family_of_one_half_in_several_tasks(spark):
     dealt = spark.range(100).select(F.lit(1).cast("long").alias("shard"), F.col("id").alias("fp"), (F.col("id") < 60).alias("home"))
     cut = simhash.cut_shards(dealt, 16).cache()
     assert cut.select("part").distinct().count() == 7 and cut.filter("asks").count() == 100 and cut.filter("home").count() == 420
+
+
+# ---- nearest centroid ----
+def test_language_is_the_nearest_centroid():
+    rng = random.Random(11)
+    tongues = {"x": "abcde", "y": "cdefg", "z": "mnopq"}
+    train = [(k, " ".join(words(rng, 30, letters))) for k, letters in tongues.items() for _ in range(25)]
+    model = language_id.Centroids([k for k, _ in train], np.stack([language_id.counts(t) for _, t in train]).astype(np.float32))
+    texts = [" ".join(words(rng, 12, rng.choice([*tongues.values(), "rstuv", "abmno"]))) for _ in range(60)] + [None, "12 ½", ""]
+    for text, (lang, score, rejected) in zip(texts, model.predict(texts)):
+        if not language_id.has_letter(text):
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        grams: dict = {}
+        b = (" " + " ".join(text.split()) + " ").encode()
+        for n in (1, 2, 3):
+            for i in range(len(b) - n + 1):
+                key = int.from_bytes(b[i : i + n], "big") + (n << 26)
+                place = (key * 2654435761 % 2**32) >> 20
+                grams[place] = grams.get(place, 0) + 1
+        v = {p: np.log1p(c) * model.idf[p] for p, c in grams.items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        best = {}
+        for c, k in zip(model.centroids, model.owner):
+            cos = sum(x * c[p] for p, x in v.items()) / size
+            best[k] = max(best.get(k, -1), cos)
+        top = max(best, key=best.get)
+        assert lang == model.langs[top] and rejected == (best[top] < model.bounds[top]) and 0 < score <= 1
+        assert len(set(model.owner)) == 3 and (model.owner == top).sum() == language_id.CENTROIDS
