@@ -44,6 +44,8 @@ DECAY, SPAN, LENGTH, BITS = 0.6, 7, 4, 20
 #: Words of a sentence that are looked at together.
 WINDOW = 8
 PER_LABEL, LANDMARKS, ROUNDS, STEPS, THRESHOLD = 1500, 256, 4, 4, 0.7
+#: Steps of a character's value in one.
+GRAIN = float(1 << 24)
 #: Strings of fewer characters have the norm of so many.
 SHORTEST = 30
 #: What a squared miss costs, the labels balanced, where the squared weights cost a half.
@@ -141,8 +143,9 @@ def norms(sizes: np.ndarray) -> np.ndarray:
 
 def values(strings: Strings, spans: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
     """The kernel-weighted sum of each span of characters (ends included), over occurrences that begin in it."""
-    run = np.concatenate(([0.0], np.cumsum(strings.local(weights))))
-    return (run[spans[1] + 1] - run[spans[0]]) / norms(spans[1] - spans[0] + 1)
+    # whole numbers, so that a text's value doesn't depend on what stands before it
+    run = np.concatenate(([0], np.cumsum(np.rint(strings.local(weights) * GRAIN).astype(np.int64))))
+    return (run[spans[1] + 1] - run[spans[0]]) / GRAIN / norms(spans[1] - spans[0] + 1)
 
 
 class Occurrences:
