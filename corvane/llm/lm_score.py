@@ -1,21 +1,24 @@
-"""Operator 3, LM scoring: a bigram model by deleted interpolation.
+"""Operator 3, LM scoring: a trigram model by deleted interpolation.
 
-P(v | u) mixes three estimates: count(u, v) / count(u), count(v) / N, and 1 / (N's vocabulary + 1). The weights belong
-to buckets of the context's frequency count(u) (powers of two) and are learned by expectation-maximisation on
-held-out counts: part of the training documents is left out of the counts while the weights are fitted.
+P(v | u) mixes three estimates: count(u, v) / count(u), count(v) / N, and 1 / (N's vocabulary + 1); P(w | u, v) mixes
+count(u, v, w) / count(u, v) with P(w | v). The weights belong to buckets of the context's frequency, count(u) or
+count(u, v), by powers of two, and are learned by expectation-maximisation on held-out counts: part of the training
+documents is left out of the counts while the weights are fitted. A text's first token has no trigram.
 
 Texts are not shuffled. A task turns its documents into blocks. It writes a block's tokens (numbers of the block's
 different words) to shared storage and asks for the counts of the block's different words and word pairs: sorted
 hashes, cut by range into parts and packed. Each part adds up what all blocks of the corpus brought, and
-answers each block in the order in which it asked. With the answers a block scores its documents. So every word and
-pair of the corpus is counted, once a block and part of the data travels, and no task holds more than a part or a
-block. There are as many parts as the corpus' tokens need at about PART_TOKENS each, so a part's size doesn't grow with the
-corpus. Words and pairs are told apart by 64-bit hashes.
+answers each block in the order in which it asked. The block keeps its counts in shared storage and asks for its
+trigrams in the same way, but only for those whose two pairs both occur more than once in the corpus: any other trigram
+occurs once, and in that very place, so its count is known. With the answers a block scores its documents. So every
+word, pair and trigram of the corpus is counted, once a block and part of the data travels, and no task holds more than
+a part or a block. There are as many parts as the corpus' tokens need at about PART_TOKENS each, so a part's size
+doesn't grow with the corpus. Words, pairs and trigrams are told apart by 64-bit hashes.
 
 Defined cases: a null text is an empty one, with the end token only; without training documents all counts are zero
 and only the uniform estimate is left, 1 / (0 + 1) times its whole weight, so every score is 0; ids are whole numbers;
-repeated rows count and are scored as documents of their own; a null id
-counts as the empty string; an empty table gives an empty result; other columns are ignored.
+repeated rows count and are scored as documents of their own; a null id counts as the empty string; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,12 +55,11 @@ def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def pack(keys: np.ndarray, counts: np.ndarray, held: np.ndarray) -> bytes:
+def pack(keys: np.ndarray, *counts: np.ndarray) -> bytes:
     """Sorted keys as the low bytes of their gaps, and counts, most of them one byte long."""
     gaps = np.diff(keys, prepend=np.uint64(0))
     head = np.array([len(keys)], "<u4").tobytes()
-    body = b"".join(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, k]).tobytes() for k in range(8))
-    return _join(head, zlib.compress(body, 1), small(counts), small(held))
+    return _join(head, zlib.compress(_planes(gaps), 1), *map(small, counts))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -96,11 +98,10 @@ def unsmall(b: bytes) -> np.ndarray:
     return out
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    head, body, counts, held = _parts(blob)
-    n = int(np.frombuffer(head, "<u4")[0])
-    gaps = np.ascontiguousarray(np.frombuffer(zlib.decompress(body), np.uint8).reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64), unsmall(counts), unsmall(held)
+def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """The keys and the counts of :func:`pack`."""
+    _, body, *counts = _parts(blob)
+    return np.cumsum(_unplanes(zlib.decompress(body), 8).view("<u8").ravel(), dtype=np.uint64), *map(unsmall, counts)
 
 
 class Block:
@@ -148,28 +149,53 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *[np.add.reduceat(v[order], first) if len(keys) else v for v in values]
 
 
-def _asks(hashes, words, lengths, kinds):
-    """What a block asks for: for words (0) and pairs (1) the sorted hashes with the block's own counts."""
-    token, context, doc = _tokens_of(words, lengths, len(hashes) - 2)
-    kind = kinds[doc]
-    counted, held = (kind > 0).astype(np.int32), (kind == 2).astype(np.int32)
-    n = np.bincount(token, counted, minlength=len(hashes)).astype(np.int64)
-    h = np.bincount(token, held, minlength=len(hashes)).astype(np.int64)
-    n[-2], h[-2] = (kinds > 0).sum(), (kinds == 2).sum()  # the start, as a context
-    yield 0, *_sums(hashes, n, h)
-    # pairs by their block numbers first: half as much to sort as by hash
-    pairs = context.astype(np.int64) * len(hashes) + token
-    del token, context, doc, kind
-    pairs, n, h = _sums(pairs, counted, held)
-    del counted, held
-    keys = pair_hash(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
-    yield 1, *_sums(keys, n, h)
+def _by_kind(at: np.ndarray, kind: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of each place how often it is counted, how often of that held out, and how often only scored."""
+    return [np.bincount(at, w, minlength=n).astype(np.int64) for w in (kind > 0, kind == 2, kind == 0)]
+
+
+def _cut(name: str, keys: np.ndarray, *counts: np.ndarray, parts: int, kind: int) -> dict[str, list]:
+    """The asks of a block's sorted keys, one a part."""
+    out: dict[str, list] = {"block": [], "part": [], "blob": []}
+    cuts = np.searchsorted(keys, _bounds(parts))
+    for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            out["block"].append(name)
+            out["part"].append(2 * p + kind)
+            out["blob"].append(pack(keys[a:b], *[c[a:b] for c in counts]))
+    return out
+
+
+_ASK, _ANSWER = "block string, part long, blob binary", "block string, part long, answer binary"
+
+
+def _table(rows: dict[str, list]) -> pa.Table:
+    kinds = {"block": pa.string(), "part": pa.int64(), "blob": pa.binary(), "answer": pa.binary()}
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()})
+
+
+def _answers(part: pa.Table, totals: bool) -> pa.Table:
+    """Each block's keys with what all blocks bring; with ``totals`` a row of sums under the block ''."""
+    blobs = [unpack(b) for b in part.column("blob").to_pylist()]
+    keys, *sums = _sums(*[np.concatenate([b[k] for b in blobs]) for k in range(4)])
+    blobs = [b[0] for b in blobs]
+    rows: dict[str, list] = {"block": part.column("block").to_pylist(), "part": part.column("part").to_pylist(), "answer": []}
+    for own in blobs:
+        at = np.searchsorted(keys, own)
+        rows["answer"].append(_join(*[small(x[at]) for x in sums]))
+    if totals:
+        n, h = sums[:2]
+        real, kept = (keys != _START) & (n > 0), (keys != _START) & (n > h)
+        rows["block"].append("")
+        rows["part"].append(-1)
+        rows["answer"].append(np.array([n[real].sum(), real.sum(), (n - h)[kept].sum(), kept.sum()], "<i8").tobytes())
+    return _table(rows)
 
 
 def count_corpus(docs: DataFrame, root: str, parts: int) -> DataFrame:
-    """Answers (block, part, kind, answer) and, with block null, each part's totals.
+    """(block, part, answer): of each block the answers about trigrams and a row with part -1; under the block '' totals.
 
-    ``docs``: ``doc_id`` long, ``kind`` int (see :class:`Block`) and ``text``. Blocks lie under ``root``.
+    ``docs``: ``doc_id`` long, ``kind`` int (see :class:`Block`) and ``text``. Blocks and their counts lie under ``root``.
     """
 
     def ask(batches):
@@ -181,22 +207,19 @@ def count_corpus(docs: DataFrame, root: str, parts: int) -> DataFrame:
             name = f"{task}-{at}"
             hashes, lengths, words = block.arrays()
             kinds = np.array(block.kinds, np.int64)
-            ids = pa.array(block.ids, pa.int64())
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
+                w.write_batch(pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64())], names=["id"]))
             stored = [sink.getvalue().to_pybytes(), kinds.astype(np.int8).tobytes(), lengths.astype("<i8").tobytes(), _planes(words.astype("<i4")), hashes.astype("<u8").tobytes()]
-            data = _join(*[zlib.compress(x, 1) for x in stored])
             # a repeated task writes the same bytes to the same place
-            storage.replace(f"{root}/block-{name}", data, f".{uuid.uuid4().hex}")
-            for kind, keys, n, h in _asks(hashes, words, lengths, kinds):
-                cuts = np.searchsorted(keys, _bounds(parts))
-                for p in range(parts):
-                    a, b = cuts[p], cuts[p + 1]
-                    if b > a:
-                        yield pa.RecordBatch.from_pydict({
-                            "block": pa.array([name]), "part": pa.array([p * 2 + kind], pa.int64()), "blob": pa.array([pack(keys[a:b], n[a:b], h[a:b])], pa.binary()),
-                        })
+            storage.replace(f"{root}/block-{name}", _join(*[zlib.compress(x, 1) for x in stored]), f".{uuid.uuid4().hex}")
+            told = Tokens(kinds, lengths, words, hashes)
+            n, h, o = _by_kind(told.token, told.kind, len(hashes))
+            for x, k in ((n, kinds > 0), (h, kinds == 2), (o, kinds == 0)):
+                x[-2] = k.sum()  # the start, as a context
+            yield from _table(_cut(name, *_sums(hashes, n, h, o), parts=parts, kind=0)).to_batches()
+            counts = _by_kind(told.pair_of, told.kind, len(told.pairs))
+            yield from _table(_cut(name, *_sums(told.pair_hashes, *counts), parts=parts, kind=1)).to_batches()
 
         for batch in batches:
             for i, kind, text in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
@@ -207,56 +230,102 @@ def count_corpus(docs: DataFrame, root: str, parts: int) -> DataFrame:
         if block.ids:
             yield from flush()
 
-    def answer(key: tuple, part: pa.Table) -> pa.Table:
-        kind = key[0].as_py() % 2
-        blobs = [unpack(b) for b in part.column("blob").to_pylist()]
-        keys, n, h = _sums(*[np.concatenate([b[k] for b in blobs]) for k in range(3)])
-        blobs = [b[0] for b in blobs]
-        out = {"block": [], "part": [], "answer": []}
-        for name, own in zip(part.column("block").to_pylist(), blobs, strict=True):
-            at = np.searchsorted(keys, own)
-            out["block"].append(name)
-            out["answer"].append(_join(small(n[at]), small(h[at])))
-        totals = (0, 0, 0, 0)
-        if kind == 0:
-            real = (keys != _START) & (n > 0)
-            kept = (keys != _START) & (n > h)
-            totals = (int(n[real].sum()), int(real.sum()), int((n - h)[kept].sum()), int(kept.sum()))
-        out["block"].append(None)
-        out["answer"].append(np.array(totals, "<i8").tobytes())
-        out["part"] = [key[0].as_py()] * len(out["block"])
-        return pa.table({"block": pa.array(out["block"], pa.string()), "part": pa.array(out["part"], pa.int64()), "answer": pa.array(out["answer"], pa.binary())})
+    def ask_again(key: tuple, rows: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        if not name:
+            return _table({"block": [""] * len(rows), "part": [-1] * len(rows), "blob": rows.column("answer").to_pylist()})
+        b = Counted.answered(root, name, rows.column("part").to_pylist(), rows.column("answer").to_pylist())
+        b.keep(root, name)
+        at = np.flatnonzero(b.asked)
+        counts = [x[at] for x in _by_kind(b.triple_of, b.kind[b.later], len(b.triples))]
+        out = _cut(name, *_sums(b.triple_hashes()[at], *counts), parts=parts, kind=0)
+        return _table({"block": [name, *out["block"]], "part": [-1, *out["part"]], "blob": [b"", *out["blob"]]})
+
+    def answer_again(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return rows.rename_columns(["block", "part", "answer"])
+        return _answers(rows, False)
 
-    asked = map_arrow(docs.select("doc_id", "kind", "text"), ask, "block string, part long, blob binary")
-    return materialise(asked.groupBy("part").applyInArrow(answer, "block string, part long, answer binary"), "lm-counts")
+    asked = map_arrow(docs.select("doc_id", "kind", "text"), ask, _ASK)
+    told = asked.groupBy("part").applyInArrow(lambda key, rows: _answers(rows, key[0].as_py() % 2 == 0), _ANSWER)
+    again = told.groupBy("block").applyInArrow(ask_again, _ASK)
+    return materialise(again.groupBy("part").applyInArrow(answer_again, _ANSWER), "lm-counts")
 
 
 def _bounds(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(parts)] + [(1 << 64) - 1], np.uint64)
 
 
-class Counted:
-    """A block together with its counts."""
+class Tokens:
+    """A block's tokens, different pairs and different trigrams."""
+
+    def __init__(self, kinds: np.ndarray, lengths: np.ndarray, words: np.ndarray, hashes: np.ndarray):
+        self.lengths, self.hashes = lengths, hashes
+        self.token, self.context, self.doc = _tokens_of(words, lengths, len(hashes) - 2)
+        self.kind = kinds[self.doc]
+        self.pairs, self.pair_of = np.unique(self.context.astype(np.int64) * len(hashes) + self.token, return_inverse=True)
+        self.left, self.right = self.pairs // len(hashes), self.pairs % len(hashes)
+        self.pair_hashes = pair_hash(hashes[self.left], hashes[self.right])
+
+    def find_triples(self) -> None:
+        """Tokens that aren't a text's first, and their trigrams as two pairs that share a word."""
+        self.later = np.flatnonzero(self.context != len(self.hashes) - 2)
+        self.triples, self.triple_of = np.unique(self.pair_of[self.later - 1].astype(np.int64) * len(self.pairs) + self.pair_of[self.later], return_inverse=True)
+        self.front, self.back = self.triples // len(self.pairs), self.triples % len(self.pairs)
+
+    def triple_hashes(self) -> np.ndarray:
+        return pair_hash(self.pair_hashes[self.front], self.hashes[self.right[self.back]])
+
 
-    def __init__(self, root: str, name: str, parts: list[int], answers: list[bytes]):
+def _told(answers: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """The counts of a block's sorted keys from its answers, by part."""
+    got = [[unsmall(x) for x in _parts(a)] for _, a in sorted(answers)]
+    return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.empty(0, np.int64)] * 3
+
+
+class Counted(Tokens):
+    """A block together with its counts: n of training documents, h of those held out."""
+
+    def __init__(self, root: str, name: str):
         stored = [zlib.decompress(x) for x in _parts(storage.read(f"{root}/block-{name}"))]
         self.ids = pa.ipc.open_stream(stored[0]).read_all().column("id")
         self.kinds = np.frombuffer(stored[1], np.int8)
-        lengths, words, hashes = np.frombuffer(stored[2], "<i8"), _unplanes(stored[3], 4).view("<i4").ravel(), np.frombuffer(stored[4], "<u8")
-        told = {0: [], 1: []}
-        for p, a in sorted(zip(parts, answers, strict=True)):
-            told[p % 2].append([unsmall(x) for x in _parts(a)])
-        got = {k: [np.concatenate(x) for x in zip(*v, strict=True)] for k, v in told.items()}
-        # the order of asking: by hash for words; pairs by their hash
-        rank = np.unique(hashes, return_inverse=True)[1]
-        self.word_n, self.word_h = (x[rank] for x in got[0])
-        token, context, doc = _tokens_of(words, lengths, len(hashes) - 2)
-        pairs, inverse = np.unique(context.astype(np.int64) * len(hashes) + token, return_inverse=True)
-        rank = np.unique(pair_hash(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]), return_inverse=True)[1]
-        self.pair_n, self.pair_h = (x[rank] for x in got[1])
-        self.pairs, self.pair_of = pairs, inverse
-        self.left, self.right = pairs // len(hashes), pairs % len(hashes)
-        self.token, self.doc, self.lengths = token, doc, lengths
+        words = _unplanes(stored[3], 4).view("<i4").ravel()
+        super().__init__(self.kinds, np.frombuffer(stored[2], "<i8"), words, np.frombuffer(stored[4], "<u8"))
+
+    @classmethod
+    def answered(cls, root: str, name: str, parts: list[int], answers: list[bytes]) -> Counted:
+        """With the answers about words (even parts) and pairs (odd ones)."""
+        b = cls(root, name)
+        rank = np.unique(b.hashes, return_inverse=True)[1]
+        b.word_n, b.word_h, _ = (x[rank] for x in _told([x for x in zip(parts, answers, strict=True) if x[0] % 2 == 0]))
+        rank = np.unique(b.pair_hashes, return_inverse=True)[1]
+        b.pair_n, b.pair_h, other = (x[rank] for x in _told([x for x in zip(parts, answers, strict=True) if x[0] % 2]))
+        b.again = b.pair_n + other > 1
+        b.find_triples()
+        b.asked = b.again[b.front] & b.again[b.back]
+        return b
+
+    def keep(self, root: str, name: str) -> None:
+        kept = _join(*map(small, (self.word_n, self.word_h, self.pair_n, self.pair_h, self.again.astype(np.int64))))
+        storage.replace(f"{root}/counts-{name}", kept, f".{uuid.uuid4().hex}")
+
+    @classmethod
+    def kept(cls, root: str, name: str, rows: pa.Table | None = None) -> Counted:
+        """As it was kept; with ``rows``, the answers about trigrams, with their counts as well."""
+        b = cls(root, name)
+        b.word_n, b.word_h, b.pair_n, b.pair_h, again = (unsmall(x) for x in _parts(storage.read(f"{root}/counts-{name}")))
+        b.again = again > 0
+        if rows is not None:
+            b.find_triples()
+            b.asked = b.again[b.front] & b.again[b.back]
+            # a trigram that wasn't asked for occurs here only
+            b.triple_n, b.triple_h, _ = _by_kind(b.triple_of, b.kind[b.later], len(b.triples))
+            at = np.flatnonzero(b.asked)
+            rank = np.unique(b.triple_hashes()[at], return_inverse=True)[1]
+            n, h, _ = _told([(p, a) for p, a in zip(rows.column("part").to_pylist(), rows.column("answer").to_pylist(), strict=True) if p >= 0])
+            b.triple_n[at], b.triple_h[at] = n[rank], h[rank]
+        return b
 
 
 def _bucket(context_count: np.ndarray) -> np.ndarray:
@@ -269,12 +338,11 @@ def fit_weights(bins: list[tuple[int, int, int, int]]) -> np.ndarray:
     word/uniform, held-out tokens). Buckets without tokens keep equal shares of what can be non-zero."""
     weights = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
     weights[0] = [0.0, 0.9, 0.1]
-    level = lambda b: np.where(b < 0, 0.0, 2.0 ** ((b - RATIO_BINS // 2) / 4.0))
     for k in range(BUCKETS):
         own = np.array([b[1:] for b in bins if b[0] == k], float).reshape(-1, 3)
         if not len(own):
             continue
-        p, n = np.c_[level(own[:, 0]), level(own[:, 1]), np.ones(len(own))], own[:, 2:]
+        p, n = np.c_[_level(own[:, 0]), _level(own[:, 1]), np.ones(len(own))], own[:, 2:]
         w = weights[k]
         for _ in range(EM_ROUNDS):
             share = w * p
@@ -285,6 +353,25 @@ def fit_weights(bins: list[tuple[int, int, int, int]]) -> np.ndarray:
     return weights
 
 
+def fit_shares(bins: list[tuple[int, int, int]]) -> np.ndarray:
+    """The trigram estimate's share in each bucket by EM over (bucket, bin of log2 trigram/shorter estimate, held-out
+    tokens); none for contexts never seen, a half for buckets without tokens."""
+    shares = np.full(BUCKETS, 0.5)
+    shares[0] = 0.0
+    for k in range(1, BUCKETS):
+        own = np.array([b[1:] for b in bins if b[0] == k], float).reshape(-1, 2)
+        if not len(own):
+            continue
+        r, n = _level(own[:, 0]), own[:, 1]
+        for _ in range(EM_ROUNDS):
+            shares[k] = float((n * shares[k] * r / (shares[k] * r + 1 - shares[k])).sum() / (n.sum() + 1e-3))
+    return shares
+
+
+def _level(b: np.ndarray) -> np.ndarray:
+    return np.where(b < 0, 0.0, 2.0 ** ((b - RATIO_BINS // 2) / 4.0))
+
+
 def _ratio(x: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         b = np.rint(np.log2(x) * 4)
@@ -299,19 +386,29 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     held = (skip + 1) % learn
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(part == skip, 0).when(part == held, 2).otherwise(1).alias("kind"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (BYTES_A_TOKEN * PART_TOKENS)))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * shuffled, -(-size // (BYTES_A_TOKEN * PART_TOKENS)))
     root = shared_path(spark, "lm-blocks")
     counts = count_corpus(source, root, parts)
     free_shuffles(spark)
     sums = np.zeros(4, np.int64)
-    for r in counts.filter("block is null").select("answer").toLocalIterator():  # one row a part
+    for r in counts.filter("block = ''").select("answer").toLocalIterator():  # one row a part
         sums += np.frombuffer(bytes(r.answer), "<i8")
     total, distinct, kept_total, kept_distinct = (int(x) for x in sums)
-    answers = counts.filter("block is not null")
-
-    def binned(key: tuple, rows: pa.Table) -> pa.Table:
-        b = Counted(root, key[0].as_py(), rows.column("part").to_pylist(), rows.column("answer").to_pylist())
-        seen = np.bincount(b.pair_of, b.kinds[b.doc] == 2, minlength=len(b.pairs)).astype(np.int64)
+    blocks = counts.filter("block <> '' and part < 0").select("block")
+    tasks = max(1, min(blocks.count(), 16 * shuffled))
+    # as many tasks as stated: rows are few and small, what a task does with them is not
+    names, answers = blocks.repartition(tasks, "block"), counts.filter("block <> ''").repartition(tasks, "block")
+
+    def short(b: Counted, n1, n2, tokens: int, vocabulary: int, weights: np.ndarray) -> np.ndarray:
+        """P(v | u) of each pair."""
+        context = n1[b.left]
+        w = weights[_bucket(context)] if tokens else np.array([[0.0, 0.0, 1.0]])
+        return w[:, 0] * n2 / np.maximum(1, context) + w[:, 1] * n1[b.right] / max(1, tokens) + w[:, 2] / (vocabulary + 1)
+
+    def pair_bins(key: tuple, rows: pa.Table) -> pa.Table:
+        b = Counted.kept(root, key[0].as_py())
+        seen = np.bincount(b.pair_of, b.kind == 2, minlength=len(b.pairs)).astype(np.int64)
         at = np.flatnonzero(seen)
         context, uniform = (b.word_n - b.word_h)[b.left[at]], 1.0 / (kept_distinct + 1)
         pair = (b.pair_n - b.pair_h)[at] / np.maximum(1, context) / uniform
@@ -321,23 +418,37 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         return pa.table({"cell": pa.array(cell.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     # at most BUCKETS * (RATIO_BINS + 1) ** 2 cells, whatever the corpus
-    cells = answers.groupBy("block").applyInArrow(binned, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    wide = RATIO_BINS + 1
+    cells, wide = names.groupBy("block").applyInArrow(pair_bins, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect(), RATIO_BINS + 1
     weights = fit_weights([(r.cell // wide // wide, r.cell // wide % wide - 1, r.cell % wide - 1, r.n) for r in cells])
 
+    def triple_bins(key: tuple, rows: pa.Table) -> pa.Table:
+        b = Counted.kept(root, key[0].as_py(), rows)
+        seen = np.bincount(b.triple_of, b.kind[b.later] == 2, minlength=len(b.triples)).astype(np.int64)
+        at = np.flatnonzero(seen)
+        p = short(b, b.word_n - b.word_h, b.pair_n - b.pair_h, kept_total, kept_distinct, weights)[b.back[at]]
+        context = (b.pair_n - b.pair_h)[b.front[at]]
+        cell = _bucket(context) * (RATIO_BINS + 1) + _ratio((b.triple_n - b.triple_h)[at] / np.maximum(1, context) / p) + 1
+        cell, n = _sums(cell, seen[at])
+        return pa.table({"cell": pa.array(cell.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    # at most BUCKETS * (RATIO_BINS + 1) cells
+    cells = answers.groupBy("block").applyInArrow(triple_bins, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    shares = fit_shares([(r.cell // wide, r.cell % wide - 1, r.n) for r in cells])
+
     def scored(key: tuple, rows: pa.Table) -> pa.Table:
-        b = Counted(root, key[0].as_py(), rows.column("part").to_pylist(), rows.column("answer").to_pylist())
-        context = b.word_n[b.left]
-        w = weights[_bucket(context)]
-        w = w if total else np.array([[0.0, 0.0, 1.0]])
-        p = w[:, 0] * b.pair_n / np.maximum(1, context) + w[:, 1] * b.word_n[b.right] / max(1, total) + w[:, 2] / (distinct + 1)
-        score = np.bincount(b.doc, np.log10(p)[b.pair_of], minlength=len(b.lengths))
+        b = Counted.kept(root, key[0].as_py(), rows)
+        pair = short(b, b.word_n, b.pair_n, total, distinct, weights)
+        p = pair[b.pair_of]
+        context = b.pair_n[b.front]
+        share = shares[_bucket(context)]
+        p[b.later] = (share * b.triple_n / np.maximum(1, context) + (1 - share) * pair[b.back])[b.triple_of]
+        size = len(b.lengths)
         word = b.word_n[b.token]
         base = np.log10((word + 0.5) / (total + 0.5 * (distinct + 1)))
         return pa.table({
             "doc_id": b.ids, "kind": pa.array(b.kinds.astype(np.int32)), "n_tokens": pa.array(b.lengths.astype(np.int64)),
-            "n_known": pa.array(np.bincount(b.doc, word > 0, minlength=len(b.lengths)).astype(np.int64)),
-            "base_score": pa.array(np.bincount(b.doc, base, minlength=len(b.lengths))), "score": pa.array(score),
+            "n_known": pa.array(np.bincount(b.doc, word > 0, minlength=size).astype(np.int64)),
+            "base_score": pa.array(np.bincount(b.doc, base, minlength=size)), "score": pa.array(np.bincount(b.doc, np.log10(p), minlength=size)),
         })
 
     out = answers.groupBy("block").applyInArrow(scored, "doc_id long, kind int, n_tokens long, n_known long, base_score double, score double")

@@ -107,12 +107,37 @@ def test_lm_counts_and_scores(spark):
                 b = lm_score._ratio(p)
                 bins[int(lm_score._bucket(np.array([cu]))[0]), int(b[0]), int(b[1])] += 1
     weights = lm_score.fit_weights([(*k, x) for k, x in bins.items()])
-    for i, s in list(seq.items())[:40]:
-        total = 0.0
+    # the trigrams' shares, in the same way
+    three, kept_three = collections.Counter(), collections.Counter()
+    for i, s in seq.items():
+        if learn(i):
+            t = list(zip(["start", *s[:-2]], s[:-1], s[1:]))
+            three.update(t)
+            if zlib.crc32(str(i).encode()) % 5 != 2:
+                kept_three.update(t)
+
+    def short(u, w, cu, two, one, size, distinct):
+        a = weights[int(lm_score._bucket(np.array([cu]))[0])]
+        return a[0] * two[u, w] / max(1, cu) + a[1] * one[w] / size + a[2] / (distinct + 1)
+
+    bins = collections.Counter()
+    for i, s in seq.items():
+        if learn(i) and zlib.crc32(str(i).encode()) % 5 == 2:
+            for u, x, w in zip(["start", *s[:-2]], s[:-1], s[1:]):
+                cu, p = kept_pairs[u, x], short(x, w, kept[x], kept_pairs, kept, kn, kv)
+                bins[int(lm_score._bucket(np.array([cu]))[0]), int(lm_score._ratio(np.array([kept_three[u, x, w] / max(1, cu) / p]))[0])] += 1
+    shares = lm_score.fit_shares([(*k, x) for k, x in bins.items()])
+    assert shares[0] == 0 and any(three[t] > 1 for t in three)
+    for i, s in list(seq.items())[:60]:
+        total, before = 0.0, None
         for u, w in zip(["start", *s[:-1]], s, strict=True):
-            cu = starts if u == "start" else c[u]
-            a = weights[int(lm_score._bucket(np.array([cu]))[0])]
-            total += math.log10(a[0] * pairs[u, w] / max(1, cu) + a[1] * c[w] / n + a[2] / (v + 1))
+            p = short(u, w, starts if u == "start" else c[u], pairs, c, n, v)
+            if before is not None:
+                cu = pairs[before, u]
+                a = shares[int(lm_score._bucket(np.array([cu]))[0])]
+                p = a * three[before, u, w] / max(1, cu) + (1 - a) * p
+            total += math.log10(p)
+            before = u
         assert got[i].score == pytest.approx(total, rel=1e-6)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
