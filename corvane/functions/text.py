@@ -131,9 +131,15 @@ def candidate_terms(c: Column) -> Column:
     return first_spellings(keep)
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once: a lambda's variable isn't computed again for each element."""
+    return F.get(F.transform(F.array(value), lambda x: fn(x)), F.lit(0))
+
+
 def first_spellings(words: Column) -> Column:
     """Of words that fold alike, the first."""
-    return F.transform(F.array_distinct(F.transform(words, fold)), lambda f: F.element_at(words, F.array_position(F.transform(words, fold), f).cast("int")))
+    pick = lambda ws, fs: F.transform(F.array_distinct(fs), lambda f: F.element_at(ws, F.array_position(fs, f).cast("int")))
+    return let(words, lambda ws: let(F.transform(ws, fold), lambda fs: pick(ws, fs)))
 
 
 def question_tokens(c: Column) -> Column:

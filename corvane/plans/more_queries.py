@@ -495,3 +495,81 @@ def stream_alerts(spark, d):
     run = found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     return settle(spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n"), "alerts")
+
+
+# ---- folders, people and low confidence ----
+@query("select '.txt' as file_ext, 3::bigint as files, count(*)::bigint as lines, true as hashed from customer")
+def folder_scan(spark, d):
+    """Customers' names as three text files, scanned, hashed and counted."""
+    path = shared_path(spark, "folder")
+    table(spark, d, "customer").select("c_name").repartition(3).write.text(path)
+    counted = files.count_by_extension(spark, path)
+    found = files.scan(spark, path, (".TXT",), ordered=True)
+    lines = found.select("file_ext", "file_hash", F.size(F.split(F.trim(F.translate(files.decode_text("content"), "\n", " ")), " ")).alias("n"))
+    told = lines.groupBy("file_ext").agg(F.sum("n").alias("lines"), F.bool_and(F.length("file_hash") == 64).alias("hashed"))
+    return counted.join(told, "file_ext").select("file_ext", "files", "lines", "hashed")
+
+
+def _staff_hits(spark, d):
+    """A question for each customer by name, and the block that holds it."""
+    key = F.col("c_custkey")
+    spell = lambda n: F.translate(F.lpad(n.cast("string"), 6, "0"), "0123456789", "qwzxkvjpfh")
+    name = F.concat(F.lit("Ana"), spell(key), F.lit(" Silva"), spell(key % 97))
+    block = F.concat(F.lit("outro bloco\n\n"), name, F.lit("\nfone (14) 3103-"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("\nuser"), key.cast("string"), F.lit("@example.org\n\nfim"))
+    return table(spark, d, "customer").select(
+        key.alias("query_id"), F.concat(F.lit("Quem é Ana"), spell(key), F.lit("?")).alias("question"), key.alias("doc_id"), F.when(key % 2 == 0, "docentes_src1").otherwise("x").alias("source"), F.lit(0).alias("chunk"),
+        block.alias("text"), (key % 7 / 7).alias("score"),
+    )
+
+
+@query(f"""
+select c_custkey as query_id, 'Ana' || {_SPELL('c_custkey')} || ' Silva' || {_SPELL('c_custkey % 97')} as name, case when c_custkey % 2 = 0 then 'The Department' else '' end as dept,
+  '(14) 3103-' || lpad((c_custkey % 10000)::varchar, 4, '0') as phones, 'user' || c_custkey || '@example.org' as emails, 1::int as candidate
+from customer
+""")
+def people_found(spark, d):
+    out = people.people_candidates(_staff_hits(spark, d), ONTOLOGY)
+    return out.select("query_id", "name", "dept", F.array_join("phones", ",").alias("phones"), F.array_join("emails", ",").alias("emails"), "candidate")
+
+
+@query("""
+select c_custkey as query_id, '### Contato' || case when c_custkey % 3 < 2 then chr(10) || '**E-mail(s):** user' || c_custkey || '@example.org' else '' end
+  || case when c_custkey % 3 in (0, 2) then chr(10) || '**Telefone(s):** (14) 3103-0000' else '' end as answer
+from customer where not (c_custkey % 5 = 0 and c_custkey % 3 in (0, 2))
+""")
+def metadata_answers(spark, d):
+    key, none = F.col("c_custkey"), F.array().cast("array<string>")
+    c = table(spark, d, "customer")
+    said = F.when(key % 3 == 0, "Qual o e-mail e o telefone?").when(key % 3 == 1, "Qual o e-mail?").otherwise("Qual o telefone?")
+    ranked = c.select(key.alias("query_id"), F.array(F.concat(F.lit("user"), key.cast("string"), F.lit("@example.org"))).alias("emails"), F.when(key % 5 == 0, none).otherwise(F.array(F.lit("(14) 3103-0000"))).alias("phones"))
+    return people.metadata_answer(c.select(key.alias("query_id"), said.alias("question")), ranked.unionByName(ranked))
+
+
+@query("select c_custkey as query_id, 1::int as place, case when c_custkey % 2 = 0 then 'desconhecido' else c_name end as source, case when c_custkey % 3 > 0 then c_nationkey end as chunk, c_mktsegment as preview from customer")
+def citation_defaults(spark, d):
+    key = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(
+        key.alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("final_rank"), F.when(key % 2 == 1, F.col("c_name")).alias("source"), F.when(key % 3 > 0, F.col("c_nationkey")).alias("chunk"),
+        F.concat(F.lit(" "), "c_mktsegment", F.lit("\n")).alias("text"),
+    )
+    return A.citations(rows, S.max_sources)
+
+
+@query(f"""
+with c as (select c_custkey as k, c_name as n, c_custkey % 2 = 0 as low, c_custkey % 3 as people from customer)
+select k as query_id, case people when 1 then n || ' — 📞 1'
+  when 2 then case when low then '{A.LOW_SEVERAL}' else '' end || '{A.SEVERAL.strip()}' || chr(10) || '1. ' || n || ' — 📞 1' || chr(10) || '2. D — ✉️ a@b'
+  else case when low then '{A.LOW_NONE}' else '' end || case when k % 5 = 0 then 'Encontrei múltiplas possibilidades: guia do aluno, b. Pode dizer qual delas?' else '{A.WHICH_UNIT}' end end as answer,
+  people = 1 as context_found, people <> 1 as needs_clarification
+from c
+""")
+def low_confidence_answers(spark, d):
+    c, key, none = table(spark, d, "customer"), F.col("c_custkey"), F.array().cast("array<string>")
+    person = lambda n, name, dept, phones, emails: F.struct(F.lit(n).alias("candidate"), name.alias("name"), dept.alias("dept"), phones.alias("phones"), emails.alias("emails"))
+    first = person(1, F.col("c_name"), F.lit(""), F.array(F.lit("1")), none)
+    second = person(2, F.lit("").cast("string"), F.lit("D"), none, F.array(F.lit("a@b")))
+    found = F.explode(F.when(key % 3 == 1, F.array(first)).when(key % 3 == 2, F.array(first, second)))
+    candidates = c.select(key.alias("query_id"), found.alias("p")).select("query_id", "p.*", none.alias("snippets"), F.lit("s").alias("source"))
+    hits = c.filter(key % 5 == 0).select(key.alias("query_id"), F.posexplode(F.array(F.lit("a/guia_do_aluno.pdf"), F.lit("b.txt"))).alias("p", "source")).select("query_id", (F.col("p") + 1).alias("lexical_rank"), "source")
+    conf = c.select(key.alias("query_id"), F.when(key % 2 == 0, 0.1).otherwise(0.3).alias("confidence"))
+    return A.low_confidence(c.select(key.alias("query_id"), F.lit("q").alias("question")), conf, candidates, hits, S.min_score)
