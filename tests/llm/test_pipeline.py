@@ -25,7 +25,7 @@ def corpus():
     rows += [(140 + k, " ".join(words[k][: len(words[k]) * 9 // 10]), "en") for k in range(2, 20, 4)]  # cut
     items = [(k, text("en", 15)) for k in range(6)] + [(9, "short item")]
     rows += [(160 + k, f"{text('en', 30)} {t.upper()} {text('en', 10)}", "en") for k, t in items[:4]]
-    rows += [(180, None, None), (181, "", "en"), (182, "12 34 ½", "en"), (183, "漢字 " * 30, "en"), (184, rows[50][1], "en"), (184, rows[50][1], "en")]
+    rows += [(180, None, None), (181, "", "en"), (182, "12 34 ½", "en"), (183, "漢字 " * 30, None), (184, rows[50][1], "en"), (184, rows[50][1], "en")]
     return [(i, t, lang, "s", None if t is None else len(t)) for i, t, lang in rows], items
 
 
