@@ -1,15 +1,15 @@
-"""Operator 3, LM scoring: a trigram model by deleted interpolation.
+"""Operator 3, LM scoring: a bigram or trigram model by deleted interpolation.
 
-P(v | u) mixes three estimates: count(u, v) / count(u), count(v) / N, and 1 / (N's vocabulary + 1); P(w | u, v) mixes
-count(u, v, w) / count(u, v) with P(w | v). The weights belong to buckets of the context's frequency, count(u) or
+P(v | u) mixes three estimates: count(u, v) / count(u), count(v) / N, and 1 / (N's vocabulary + 1). With ``order`` 3,
+P(w | u, v) mixes count(u, v, w) / count(u, v) with P(w | v). The weights belong to buckets of the context's frequency, count(u) or
 count(u, v), by powers of two, and are learned by expectation-maximisation on held-out counts: part of the training
 documents is left out of the counts while the weights are fitted. A text's first token has no trigram.
 
 Texts are not shuffled. A task turns its documents into blocks. It writes a block's tokens (numbers of the block's
 different words) to shared storage and asks for the counts of the block's different words and word pairs: sorted
 hashes, cut by range into parts and packed. Each part adds up what all blocks of the corpus brought, and
-answers each block in the order in which it asked. The block keeps its counts in shared storage and asks for its
-trigrams in the same way, but only for those whose two pairs both occur more than once in the corpus: any other trigram
+answers each block in the order in which it asked. The block keeps its counts in shared storage and, for a trigram model,
+asks for its trigrams in the same way, but only for those whose two pairs both occur more than once in the corpus: any other trigram
 occurs once, and in that very place, so its count is known. With the answers a block scores its documents. So every
 word, pair and trigram of the corpus is counted, once a block and part of the data travels, and no task holds more than
 a part or a block. There are as many parts as the corpus' tokens need at about PART_TOKENS each, so a part's size
@@ -192,7 +192,7 @@ def _answers(part: pa.Table, totals: bool) -> pa.Table:
     return _table(rows)
 
 
-def count_corpus(docs: DataFrame, root: str, parts: int) -> DataFrame:
+def count_corpus(docs: DataFrame, root: str, parts: int, order: int = 2) -> DataFrame:
     """(block, part, answer): of each block the answers about trigrams and a row with part -1; under the block '' totals.
 
     ``docs``: ``doc_id`` long, ``kind`` int (see :class:`Block`) and ``text``. Blocks and their counts lie under ``root``.
@@ -236,6 +236,9 @@ def count_corpus(docs: DataFrame, root: str, parts: int) -> DataFrame:
             return _table({"block": [""] * len(rows), "part": [-1] * len(rows), "blob": rows.column("answer").to_pylist()})
         b = Counted.answered(root, name, rows.column("part").to_pylist(), rows.column("answer").to_pylist())
         b.keep(root, name)
+        if order < 3:
+            return _table({"block": [name], "part": [-1], "blob": [b""]})
+        b.find_triples()
         at = np.flatnonzero(b.asked)
         counts = [x[at] for x in _by_kind(b.triple_of, b.kind[b.later], len(b.triples))]
         out = _cut(name, *_sums(b.triple_hashes()[at], *counts), parts=parts, kind=0)
@@ -284,7 +287,12 @@ def _told(answers: list[tuple[int, bytes]]) -> list[np.ndarray]:
 
 
 class Counted(Tokens):
-    """A block together with its counts: n of training documents, h of those held out."""
+    """A block together with its counts: n of training documents, h of those held out; ``again`` tells pairs that the corpus
+    has more than once, ``asked`` trigrams whose pairs both are such."""
+
+    def find_triples(self) -> None:
+        super().find_triples()
+        self.asked = self.again[self.front] & self.again[self.back]
 
     def __init__(self, root: str, name: str):
         stored = [zlib.decompress(x) for x in _parts(storage.read(f"{root}/block-{name}"))]
@@ -302,8 +310,6 @@ class Counted(Tokens):
         rank = np.unique(b.pair_hashes, return_inverse=True)[1]
         b.pair_n, b.pair_h, other = (x[rank] for x in _told([x for x in zip(parts, answers, strict=True) if x[0] % 2]))
         b.again = b.pair_n + other > 1
-        b.find_triples()
-        b.asked = b.again[b.front] & b.again[b.back]
         return b
 
     def keep(self, root: str, name: str) -> None:
@@ -318,7 +324,6 @@ class Counted(Tokens):
         b.again = again > 0
         if rows is not None:
             b.find_triples()
-            b.asked = b.again[b.front] & b.again[b.back]
             # a trigram that wasn't asked for occurs here only
             b.triple_n, b.triple_h, _ = _by_kind(b.triple_of, b.kind[b.later], len(b.triples))
             at = np.flatnonzero(b.asked)
@@ -378,7 +383,7 @@ def _ratio(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.clip(b, -RATIO_BINS // 2, RATIO_BINS // 2 - 1) + RATIO_BINS // 2, -1).astype(np.int64)
 
 
-def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: int = 5, skip: int = 1) -> DataFrame:
+def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: int = 5, skip: int = 1, order: int = 2) -> DataFrame:
     """Scores of all texts under a model of those whose CRC-32 of the id modulo ``learn`` is not ``skip``; a quarter
     of the latter (the next remainder) is held out while weights are fitted."""
     spark = docs.sparkSession
@@ -389,7 +394,7 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(2 * shuffled, -(-size // (BYTES_A_TOKEN * PART_TOKENS)))
     root = shared_path(spark, "lm-blocks")
-    counts = count_corpus(source, root, parts)
+    counts = count_corpus(source, root, parts, order)
     free_shuffles(spark)
     sums = np.zeros(4, np.int64)
     for r in counts.filter("block = ''").select("answer").toLocalIterator():  # one row a part
@@ -432,16 +437,17 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         return pa.table({"cell": pa.array(cell.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     # at most BUCKETS * (RATIO_BINS + 1) cells
-    cells = answers.groupBy("block").applyInArrow(triple_bins, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = answers.groupBy("block").applyInArrow(triple_bins, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect() if order > 2 else []
     shares = fit_shares([(r.cell // wide, r.cell % wide - 1, r.n) for r in cells])
 
     def scored(key: tuple, rows: pa.Table) -> pa.Table:
-        b = Counted.kept(root, key[0].as_py(), rows)
+        b = Counted.kept(root, key[0].as_py(), rows if order > 2 else None)
         pair = short(b, b.word_n, b.pair_n, total, distinct, weights)
         p = pair[b.pair_of]
-        context = b.pair_n[b.front]
-        share = shares[_bucket(context)]
-        p[b.later] = (share * b.triple_n / np.maximum(1, context) + (1 - share) * pair[b.back])[b.triple_of]
+        if order > 2:
+            context = b.pair_n[b.front]
+            share = shares[_bucket(context)]
+            p[b.later] = (share * b.triple_n / np.maximum(1, context) + (1 - share) * pair[b.back])[b.triple_of]
         size = len(b.lengths)
         word = b.word_n[b.token]
         base = np.log10((word + 0.5) / (total + 0.5 * (distinct + 1)))
@@ -456,7 +462,7 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents; those whose checksum modulo 5 is 1 are not learned from."""
+    """Scores of all documents by a bigram model; those whose checksum modulo 5 is 1 are not learned from."""
     return score_corpus(table(spark, sf_dir, "documents"))
 
 

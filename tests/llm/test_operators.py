@@ -107,7 +107,17 @@ def test_lm_counts_and_scores(spark):
                 b = lm_score._ratio(p)
                 bins[int(lm_score._bucket(np.array([cu]))[0]), int(b[0]), int(b[1])] += 1
     weights = lm_score.fit_weights([(*k, x) for k, x in bins.items()])
+    for i, s in list(seq.items())[:40]:
+        total = 0.0
+        for u, w in zip(["start", *s[:-1]], s, strict=True):
+            cu = starts if u == "start" else c[u]
+            a = weights[int(lm_score._bucket(np.array([cu]))[0])]
+            total += math.log10(a[0] * pairs[u, w] / max(1, cu) + a[1] * c[w] / n + a[2] / (v + 1))
+        assert got[i].score == pytest.approx(total, rel=1e-6)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
     # the trigrams' shares, in the same way
+    got = {r.doc_id: r for r in lm_score.score_corpus(spark.read.parquet(f"{SF}/documents.parquet"), order=3).collect()}
     three, kept_three = collections.Counter(), collections.Counter()
     for i, s in seq.items():
         if learn(i):
