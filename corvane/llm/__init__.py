@@ -1,4 +1,4 @@
-"""Operators for large training-data pipelines, ten in all.
+"""Operators for large training-data pipelines, thirteen in all.
 
 Nothing else in the library imports this subpackage. Each module holds one operator with a general
 interface and a thin ``opN_*`` query; :func:`queries` and :func:`oracle_sql` gather those queries.
@@ -14,14 +14,17 @@ def _modules():
         language_id,
         line_dedup,
         lm_score,
+        hard_negatives,
         pieces,
+        prefix_trie,
+        secret_scan,
         sharding,
         simhash,
         toxicity,
         warc,
     )
 
-    return (language_id, pieces, lm_score, fingerprints, simhash, toxicity, line_dedup, warc, decontaminate, sharding)
+    return (language_id, pieces, lm_score, fingerprints, simhash, toxicity, line_dedup, warc, decontaminate, sharding, secret_scan, hard_negatives, prefix_trie)
 
 
 def queries() -> dict:
