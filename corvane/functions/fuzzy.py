@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -31,13 +33,20 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    n, best, own = len(short), 0.0, set(short)
+    n, best = len(short), 0.0
+    # characters that a window shares with the shorter string bound its subsequence; kept up to date as the window moves
+    spare = Counter(short)
+    shared = 0
     for end in range(1, len(long) + n):
-        window = long[max(0, end - n) : end]
-        edge = window[-1] if end <= len(long) and end < n else window[0]
-        if edge not in own and not (window[-1] in own and end <= len(long)):
-            continue
-        best = max(best, ratio(short, window))
+        if end <= len(long):
+            spare[long[end - 1]] -= 1
+            shared += spare[long[end - 1]] >= 0
+        if end > n:
+            spare[long[end - n - 1]] += 1
+            shared -= spare[long[end - n - 1]] > 0
+        begin, stop = max(0, end - n), min(end, len(long))
+        if 200.0 * shared / (n + stop - begin) > best:
+            best = max(best, ratio(short, long[begin:stop]))
     return best
 
 

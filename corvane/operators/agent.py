@@ -16,14 +16,10 @@ from ..shipping import ship
 ANSWERED, ASK = "AUTO_RESOLVER", "PEDIR_INFO"
 
 
-#: Messages before a turn that its history holds.
-HISTORY = 50
-
-
-def history(conversations: DataFrame, last: int = HISTORY) -> DataFrame:
-    """Turns with the ``last`` messages before them in ``history``, array<struct<role, text>>: a conversation of any
-    length costs that many messages a turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-last, -1)
+def history(conversations: DataFrame, last: int | None = None) -> DataFrame:
+    """Turns with all messages before them in ``history``, array<struct<role, text>>; only the ``last`` ones if given, where
+    conversations are long."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding if last is None else -last, -1)
     return conversations.withColumn("history", F.collect_list(F.struct("role", "text")).over(w))
 
 

@@ -1,49 +1,116 @@
-"""The lexical and the vector index as tables."""
+"""The lexical index as tables: postings in blocks of a term and a range of documents, in one segment or several.
+
+Documents are numbered by length and cut into ranges of RANGE_DOCS, so a range holds documents of about one length and a
+block's largest count and least length bound what any of its postings adds to a score. Bounds follow from these two at
+read time, as the average length moves with every segment.
+
+A segment is written once. It holds blocks of its own documents, what it adds to the statistics (documents it takes out
+count negatively), and tombstones: ids of documents that are gone from earlier segments. Ranges of different segments
+have different numbers, later segments larger ones.
+"""
 
 from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import settle
+from ..shared import settle, shared_path
+from ..sources.tables import number_rows
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Documents of a range; bits of a range's number below its segment's.
+RANGE_DOCS, SEGMENT_BITS = 64, 40
+TABLES = ("blocks", "doc_len", "terms", "sums", "gone")
+
+
+def part(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What one posting adds to a score, before the term's weight: more for a larger count, less for a longer document."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 @dataclasses.dataclass
 class LexicalIndex:
-    """postings (term, doc_id, tf, dl), doc_len (doc_id, dl), term_stats (term, df, idf) and the corpus row (n, avgdl)."""
+    """blocks (term, range, docs array<struct<doc_id, tf, dl>>, top_tf, least_dl), doc_len (doc_id, dl, range), term_stats
+    (term, df, idf), the corpus row (n, avgdl), and gone (doc_id, below): ids that are void in ranges below a number."""
 
-    postings: DataFrame
+    blocks: DataFrame
     doc_len: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
+    gone: DataFrame | None = None
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (doc_id, range, ..) without documents that a later segment has taken out."""
+        if self.gone is None:
+            return rows
+        gone = self.gone.select(F.col("doc_id").alias("_g"), "below")
+        return rows.join(gone, (F.col("doc_id") == F.col("_g")) & (F.col("range") < F.col("below")), "left_anti")
 
-    def save(self, path: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("doc_len", "term_stats", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    @property
+    def postings(self) -> DataFrame:
+        return self.live(self.blocks.select("term", "range", F.inline("docs"))).select("term", "doc_id", "tf", "dl")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_len", "term_stats", "corpus")])
-
-
-def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
-    """Corpus statistics by one explode; counts combine before they are shuffled. Tokens and postings are written, as
-    several of the tables are made from them."""
-    words = settle(docs.select(F.col(doc_id).alias("doc_id"), T.bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("ws")), "tokens")
-    doc_len = words.select("doc_id", F.size("ws").alias("dl"))
-    # dl rides along with each posting: a query needs no join for it
-    rows = words.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    postings = settle(rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sum("dl").alias("_dl")).select("term", "doc_id", "tf", (F.col("_dl") / F.col("tf")).cast("int").alias("dl")), "postings")
-    corpus = doc_len.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
-    stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
-    return LexicalIndex(postings, doc_len, stats, corpus)
+    def load(cls, spark: SparkSession, *paths: str) -> LexicalIndex:
+        """The index of one or several segments; term statistics are summed here."""
+        at = {name: spark.read.parquet(*[f"{p}/{name}" for p in paths]) for name in TABLES}
+        sums = at["sums"].agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        corpus = settle(sums.select(F.coalesce("n", F.lit(0)).alias("n"), (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl")), "corpus")
+        df = at["terms"].groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0") if len(paths) > 1 else at["terms"].filter("df > 0")
+        raw = df.crossJoin(F.broadcast(corpus)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+        raw = settle(raw, "terms")
+        mean = raw.agg(F.avg("raw").alias("mean"))
+        idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
+        stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+        many = len(paths) > 1
+        index = cls(at["blocks"], at["doc_len"], stats, corpus, at["gone"] if many else None)
+        index.doc_len = index.live(index.doc_len)
+        return index
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, ws, dl) of documents that have a token: the others belong to no corpus."""
+    words = docs.select("doc_id", T.bm25_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("ws"))
+    return words.filter(F.size("ws") > 0).withColumn("dl", F.size("ws"))
+
+
+def write_segment(docs: DataFrame, path: str, number: int = 0, gone: DataFrame | None = None, kept: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> None:
+    """Write documents (doc_id, text) as a segment at ``path``. ``gone`` (doc_id, text): documents of earlier segments that it
+    takes out. ``kept``: terms, sums and tombstones to write as they are, where segments are merged.
+
+    Tokens meet their range in one shuffle; a range is RANGE_DOCS documents, so counts and blocks need no other.
+    """
+    words = settle(tokens(docs), "tokens")
+    placed = number_rows(words.select("doc_id", "dl"), ["dl", "doc_id"], "at")
+    doc_len = settle(placed.select("doc_id", "dl", (F.floor(F.col("at") / RANGE_DOCS) + (number << SEGMENT_BITS)).alias("range")), "ranges")
+    doc_len.write.parquet(f"{path}/doc_len")
+    rows = words.join(doc_len.select("doc_id", "range"), "doc_id").repartition("range").select("range", "doc_id", "dl", F.explode("ws").alias("term"))
+    counts = rows.groupBy("range", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    blocks = counts.groupBy("range", "term").agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"), F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl")
+    )
+    blocks.select("term", "range", "docs", "top_tf", "least_dl").sortWithinPartitions("term").write.parquet(f"{path}/blocks")
+    if kept is None:
+        spark = docs.sparkSession
+        df = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+        sums = doc_len.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+        if gone is None:
+            void = spark.createDataFrame([], docs.select("doc_id").schema).withColumn("below", F.lit(0).cast("long"))
+        else:
+            void = gone.select("doc_id", F.lit(number << SEGMENT_BITS).cast("long").alias("below"))
+            out = settle(tokens(gone), "gone-tokens")
+            df = df.unionByName(out.select(F.explode(F.array_distinct("ws")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df")))
+            sums = sums.unionByName(out.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("total")))
+        kept = (df.groupBy("term").agg(F.sum("df").alias("df")), sums.agg(F.sum("n").alias("n"), F.sum("total").alias("total")), void)
+    for name, table in zip(("terms", "sums", "gone"), kept, strict=True):
+        table.write.parquet(f"{path}/{name}")
+
+
+def build(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
+    """An index of one segment at ``path``, by default a new one in the shared folder."""
+    path = path or shared_path(docs.sparkSession, "lexical-index")
+    write_segment(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path)
+    return LexicalIndex.load(docs.sparkSession, path)

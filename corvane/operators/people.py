@@ -10,24 +10,22 @@ from ..functions.ontology import Ontology
 from ..shared import settle
 
 
-#: Phones, e-mails, departments and citations of one name that its entry lists.
-MOST = 1000
-
-
-def listed(rows: DataFrame, key: str, name: str, most: int = MOST) -> DataFrame:
-    """(key, name): the different values ``x`` of each key as a sorted array, the first ``most``. Values combine before they
-    are shuffled, and no array grows with the number of rows."""
-    different = rows.filter("x is not null").distinct()
-    first = different.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("x"))).filter(F.col("_n") <= most)
+def listed(rows: DataFrame, key: str, name: str, most: int | None = None) -> DataFrame:
+    """(key, name): the different values ``x`` of each key as a sorted array, only the first ``most`` if given. Values
+    combine before they are shuffled: an array has as many elements as there are different values."""
+    first = rows.filter("x is not null").distinct()
+    if most is not None:
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("x"))).filter(F.col("_n") <= most)
     return first.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias(name))
 
 
-def contact_index(docs: DataFrame, ontology: Ontology | None = None, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+def contact_index(docs: DataFrame, ontology: Ontology | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(contacts, aliases) of documents (source, chunk, text).
 
     A block whose first line is a person's name and which holds a phone or e-mail is an entry; entries of one folded
-    name are united, up to ``most`` phones, e-mails, departments and citations each. ``aliases`` (alias, canonical) holds the name, its words of four letters or more, and the
-    dictionary's aliases of any of its words; an alias of several people belongs to the alphabetically first.
+    name are united, with all their phones, e-mails, departments and citations (``most`` of each if given). ``aliases``
+    (alias, canonical) holds the name, its words of four letters or more, and the dictionary's aliases of any of its
+    words; an alias of several people belongs to the alphabetically first.
     """
     ontology = ontology or Ontology()
     body = F.explode(T.blocks(F.col("text")))

@@ -1,4 +1,8 @@
-"""A folder into chunks, vectors and index tables: from nothing, or only what has changed."""
+"""A folder into chunks, vectors and index tables: from nothing, or only what has changed.
+
+The tables are segments (:mod:`corvane.operators.segments`): a change writes the chunks of its own files and their
+postings, and tombstones of what they replace; nothing else is rewritten until segments are merged.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,13 @@ from ..config import Settings
 from ..functions import text as T
 from ..functions.models import embed_texts
 from ..functions.ontology import Ontology
-from ..operators import cache, chunking, index
+from ..operators import cache, chunking, segments
+from ..operators.segments import chunks, lexical, manifest, version
 from ..shared import settle
 from ..sources import files, tables
 
+__all__ = ["chunks", "forget", "lexical", "manifest", "rebuild", "update", "version"]
+
 
 def _chunks(found: DataFrame, settings: Settings, ontology: Ontology | None, embedder) -> DataFrame:
     docs = files.load(found).filter("error is null and trim(text) <> ''").withColumn("text", T.repair(F.col("text")))
@@ -24,24 +31,11 @@ def _manifest(found: DataFrame) -> DataFrame:
     return found.select(F.col("source").alias("source_file"), "file_hash", F.current_timestamp().alias("processed_at"))
 
 
-def _save(spark: SparkSession, path: str, chunks: DataFrame, manifest: DataFrame, old: int) -> None:
-    """Write the next version of the tables, then point ``current`` at it: readers never see half a version."""
-    to = f"{path}/v{old + 1}"
-    chunks.write.parquet(f"{to}/chunks")
-    manifest.write.parquet(f"{to}/manifest")
-    index.build(spark.read.parquet(f"{to}/chunks")).save(f"{to}/index")
-    spark.createDataFrame([(old + 1,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
-
-
-def version(spark: SparkSession, path: str) -> int:
-    rows = tables.read_or_empty(spark, f"{path}/current", "version int").collect()
-    return rows[0].version if rows else 0
-
-
 def rebuild(spark: SparkSession, folder: str, path: str, settings: Settings | None = None, ontology: Ontology | None = None, embedder=None, cache_path: str | None = None) -> None:
+    """A version that holds the folder as it is, in one segment."""
     # the folder is read once: manifest and chunks agree whatever changes meanwhile
     found = settle(files.scan(spark, folder), "files")
-    _save(spark, path, _chunks(found, settings or Settings(), ontology, embedder), _manifest(found), version(spark, path))
+    segments.replace(spark, path, _chunks(found, settings or Settings(), ontology, embedder), _manifest(found))
     forget(spark, cache_path)
 
 
@@ -54,22 +48,20 @@ def forget(spark: SparkSession, cache_path: str | None) -> None:
 
 def update(spark: SparkSession, folder: str, path: str, settings: Settings | None = None, ontology: Ontology | None = None, embedder=None, cache_path: str | None = None) -> dict[str, int]:
     """Bring the tables up to date with the folder; counts of files by status. Nothing is written if nothing changed; else
-    cached answers below ``cache_path`` are dropped."""
-    now = version(spark, path)
-    if not now:
+    a segment is added and cached answers below ``cache_path`` are dropped."""
+    if not version(spark, path):
         rebuild(spark, folder, path, settings, ontology, embedder, cache_path)
-        return {"new": spark.read.parquet(f"{path}/v{version(spark, path)}/manifest").count()}
-    found = files.scan(spark, folder)
-    manifest = spark.read.parquet(f"{path}/v{now}/manifest")
-    status = settle(tables.diff(found.select(F.col("source").alias("source_file"), "file_hash"), manifest), "status")
+        return {"new": manifest(spark, path).count()}
+    # listed and hashed once: the contents of changed files are read from what is written here
+    found = settle(files.scan(spark, folder), "files")
+    status = settle(tables.diff(found.select(F.col("source").alias("source_file"), "file_hash"), manifest(spark, path)), "status")
     counts = {r.status: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
     if set(counts) <= {"unchanged"}:
         return counts
-    add, gone = status.filter("status in ('new', 'modified')"), status.filter("status in ('deleted', 'modified')")
-    fresh = settle(found.join(add.select(F.col("source_file").alias("source")), "source", "left_semi"), "files")
-    kept = tables.without(spark.read.parquet(f"{path}/v{now}/chunks").withColumnRenamed("source", "source_file"), gone).withColumnRenamed("source_file", "source")
-    chunks = kept.unionByName(_chunks(fresh, settings or Settings(), ontology, embedder))
-    rows = tables.upsert(tables.without(manifest, status.filter("status = 'deleted'")), _manifest(fresh))
-    _save(spark, path, chunks, rows, now)
+    add, out = status.filter("status in ('new', 'modified')"), status.filter("status in ('deleted', 'modified')")
+    fresh = found.join(add.select(F.col("source_file").alias("source")), "source", "left_semi")
+    gone = chunks(spark, path).select("doc_id", "text", "source").join(out.select(F.col("source_file").alias("source")), "source", "left_semi").drop("source")
+    deleted = status.filter("status = 'deleted'").select("source_file", F.lit(None).cast("string").alias("file_hash"), F.current_timestamp().alias("processed_at"))
+    segments.append(spark, path, _chunks(fresh, settings or Settings(), ontology, embedder), settle(gone, "gone"), _manifest(fresh).unionByName(deleted))
     forget(spark, cache_path)
     return counts

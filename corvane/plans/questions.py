@@ -54,7 +54,7 @@ def retrieve_round(questions: DataFrame, corpus: Corpus, settings: Settings, emb
 
 
 def lexical_hits(questions: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
-    best = retrieve.top(retrieve.bm25(questions, corpus.index), settings.fetch_k, name="lexical_rank").drop("lexical_rank")
+    best = retrieve.top(retrieve.bm25_best(questions, corpus.index, settings.fetch_k), settings.fetch_k, name="lexical_rank").drop("lexical_rank")
     best = retrieve.department_bonus(best, questions, corpus.chunks, corpus.ontology, settings.dept_bonus)
     return retrieve.top(best, settings.fetch_k, name="lexical_rank")
 

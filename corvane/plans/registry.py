@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions.ontology import Ontology, tag_entities
 from ..operators import agent, cache, chunking, evaluate, fuse, index, people, rank, retrieve, telemetry
 from ..operators import answer as A
-from ..shared import settle, shared_path
+from ..shared import ON_CLEAR, settle, shared_path, state_of
 from ..shipping import ship
 from ..sources import tables
 from . import questions as Q
@@ -194,7 +194,7 @@ def triage(spark, d):
 
 # ---- lexical index and search ----
 _POST = f"""
-w as materialized (select doc_id, {_WORDS('text')} as ws from documents),
+w as materialized (select * from (select doc_id, {_WORDS('text')} as ws from documents) where len(ws) > 0),
 doc_len as materialized (select doc_id, len(ws) as dl from w),
 postings as materialized (select term, doc_id, count(*) as tf from (select doc_id, unnest(ws) as term from w) group by all),
 corpus as materialized (select count(*) as n, avg(dl) as avgdl from doc_len),
@@ -210,21 +210,23 @@ bm as (
 lex as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id)::int as lexical_rank from bm) where lexical_rank <= {S.fetch_k})"""
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
+ON_CLEAR.append(_INDEXES.clear)
 
 
 def lexical(spark: SparkSession, d: str) -> index.LexicalIndex:
-    """The index of a folder's documents: built and saved by the first query that needs it, then read."""
-    at = (spark.sparkContext.applicationId, d)
+    """The index of a folder's documents: built by the first query that needs it, then read, as long as the documents' files
+    are the same."""
+    at = (spark.sparkContext.applicationId, d, state_of(spark, f"{d}/documents.parquet"))
     if at not in _INDEXES:
         path = shared_path(spark, "lexical-index")
-        index.build(docs(spark, d)).save(path)
+        index.build(docs(spark, d), path)
         _INDEXES[at] = path
     return index.LexicalIndex.load(spark, _INDEXES[at])
 
 
 def _bm25(spark, d) -> DataFrame:
-    scored = retrieve.bm25(asked(spark, d), lexical(spark, d)).withColumn("score", F.round("score", 9))
+    scored = retrieve.bm25_best(asked(spark, d), lexical(spark, d), S.fetch_k).withColumn("score", F.round("score", 9))
     return retrieve.top(scored, S.fetch_k, name="lexical_rank")
 
 
@@ -584,10 +586,10 @@ def contact_lookup(spark, d):
 
 
 # ---- conversations, cache, telemetry, evaluation ----
-@query(f"""
+@query("""
 select conv_id, turn, (count(*) over w)::bigint as n_before,
   md5(coalesce(string_agg(role || ':' || text, chr(1)) over w, '')) as history
-from conversations window w as (partition by conv_id order by turn rows between {agent.HISTORY} preceding and 1 preceding)
+from conversations window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)
 """)
 def history_window(spark, d):
     h = agent.history(table(spark, d, "conversations"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,29 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in store.listStatus(at)] if store.exists(at) else []
+
+
+def state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, files and time of last change of a file or folder: a table that was replaced has another state."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = store.getContentSummary(at)
+    return held.getLength(), held.getFileCount(), store.getFileStatus(at).getModificationTime()
+
+
+#: Called when the shared folder is cleared, by those who remember paths in it.
+ON_CLEAR: list[Callable[[], None]] = []
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this package has written to the shared folder; results not yet read are lost with it."""
+    for forget in ON_CLEAR:
+        forget()
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/corvane")

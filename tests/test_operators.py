@@ -125,8 +125,8 @@ def test_ingest_rebuild_and_update(spark, tmp_path):
     (src / "b.txt").unlink()
     (src / "c.txt").write_text("Terceiro.")
     assert ingest.update(spark, str(src), out) == {"modified": 1, "deleted": 1, "new": 1}
-    assert sorted(r.text for r in spark.read.parquet(f"{out}/v2/chunks").collect()) == ["Primeiro mudado.", "Terceiro."]
-    assert index.LexicalIndex.load(spark, f"{out}/v2/index").corpus.first().n == 2
+    assert sorted(r.text for r in ingest.chunks(spark, out).collect()) == ["Primeiro mudado.", "Terceiro."]
+    assert ingest.lexical(spark, out).corpus.first().n == 2
 
 
 def test_contacts(spark):
