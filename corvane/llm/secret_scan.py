@@ -39,10 +39,11 @@ PATTERNS = (
 )
 RANDOM = "random"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Narrowest first; a run has the first alphabet that holds all its characters.
+#: Narrowest first; a run has the first alphabet that holds all its characters. Small letters come first where there are
+#: others, so that ordinary words stay on one side of the middle.
 ALPHABETS = (
     _DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER, _UPPER, _UPPER + "234567", _LOWER + _DIGITS, _UPPER + _DIGITS, _LOWER + _UPPER,
-    _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_", _UPPER + _LOWER + _DIGITS + "+/-_",
+    _LOWER + _DIGITS + _UPPER, _LOWER + _DIGITS + _UPPER + "+/", _LOWER + _DIGITS + _UPPER + "-_", _LOWER + _DIGITS + _UPPER + "+/-_",
 )
 _CHARS = "[A-Za-z0-9+/_-]"
 _RUN = f"(?<!{_CHARS}){_CHARS}{{{MIN_LENGTH},}}"
