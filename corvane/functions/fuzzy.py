@@ -27,8 +27,14 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a window of the longer, windows at the ends shorter as well."""
+    """The best ratio of the shorter string with a window of the longer, windows at the ends shorter as well; of strings
+    of one length each is tried as the shorter."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
+    best = _best_window(short, long)
+    return max(best, _best_window(long, short)) if len(a) == len(b) and best < 100 else best
+
+
+def _best_window(short: str, long: str) -> float:
     if not short:
         return 100.0 if not long else 0.0
     if short in long:

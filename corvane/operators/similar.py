@@ -90,8 +90,11 @@ def may_match(term: Column, sentence: Column, threshold: float) -> Column:
     deleted or inserted. So of that many parts and one more of the shorter string one stands whole in the longer, and of
     its different pairs of characters all but two for each edit.
     """
-    short = F.when(F.length(term) <= F.length(sentence), term).otherwise(sentence)
-    long = F.when(F.length(term) <= F.length(sentence), sentence).otherwise(term)
+    in_sentence, in_term = _may_lie(term, sentence, threshold), _may_lie(sentence, term, threshold)
+    return ((F.length(term) <= F.length(sentence)) & in_sentence) | ((F.length(term) >= F.length(sentence)) & in_term)
+
+
+def _may_lie(short: Column, long: Column, threshold: float) -> Column:
     n = F.length(short)
     edits = F.floor(n * (2 * (1 - threshold / 100)) + 1e-9).cast("int")
     parts = edits + 1

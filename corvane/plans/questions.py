@@ -12,6 +12,7 @@ from ..functions.models import embed_texts
 from ..functions.ontology import Ontology
 from ..operators import answer as A
 from ..operators import fuse, people, rank, retrieve
+from ..operators.fuzzy_search import LIMIT, SentenceIndex, fuzzy_top
 from ..operators.index import LexicalIndex
 from ..shared import settle
 
@@ -24,6 +25,7 @@ class Corpus:
     vectors: DataFrame
     index: LexicalIndex
     ontology: Ontology = dataclasses.field(default_factory=Ontology)
+    sentences: SentenceIndex | None = None  # where it is given, questions without a word hit are searched fuzzily
 
 
 def retrieve_round(questions: DataFrame, corpus: Corpus, settings: Settings, embedder=None, model=None, scorer=None, lexical: DataFrame | None = None) -> DataFrame:
@@ -56,7 +58,13 @@ def retrieve_round(questions: DataFrame, corpus: Corpus, settings: Settings, emb
 def lexical_hits(questions: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
     best = retrieve.top(retrieve.bm25_best(questions, corpus.index, settings.fetch_k), settings.fetch_k, name="lexical_rank").drop("lexical_rank")
     best = retrieve.department_bonus(best, questions, corpus.chunks, corpus.ontology, settings.dept_bonus)
-    return retrieve.top(best, settings.fetch_k, name="lexical_rank")
+    best = retrieve.top(best, settings.fetch_k, name="lexical_rank")
+    if corpus.sentences is None:
+        return best
+    best = settle(best, "lexical")
+    rest = questions.join(best.select("query_id").distinct(), "query_id", "left_anti")
+    fuzzy = fuzzy_top(rest, corpus.chunks, corpus.sentences, corpus.ontology, settings.lexical_threshold, min(LIMIT, settings.fetch_k), settings.dept_bonus)
+    return best.unionByName(fuzzy.withColumnRenamed("rank", "lexical_rank").select(*best.columns))
 
 
 def answer(questions: DataFrame, corpus: Corpus, settings: Settings | None = None, embedder=None, model=None, scorer=None) -> DataFrame:
@@ -85,7 +93,8 @@ def answer(questions: DataFrame, corpus: Corpus, settings: Settings | None = Non
         if name not in has:
             sents = sents.withColumn(name, F.lit(None).cast(kind))
     again = settle(A.retry_query(rest.join(conf.filter(F.col("confidence") < settings.min_score), "query_id", "left_semi"), sents, corpus.ontology).filter("retry is not null"), "retries")
-    second = settle(retrieve_round(again.select("query_id", F.col("retry").alias("question")), corpus, settings, embedder, model, scorer), "second")
+    # most batches have no question to ask again
+    second = ranked.limit(0) if again.isEmpty() else settle(retrieve_round(again.select("query_id", F.col("retry").alias("question")), corpus, settings, embedder, model, scorer), "second")
     conf2 = rank.confidence(second, again, settings.confidence_min).withColumnRenamed("confidence", "c2")
     both = conf.join(conf2.select("query_id", "c2"), "query_id", "left").withColumn("adopt", F.coalesce(F.col("c2") > F.col("confidence"), F.lit(False)))
     both = settle(both, "adopted")

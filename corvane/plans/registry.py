@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..functions.ontology import Ontology, tag_entities
-from ..operators import agent, cache, chunking, evaluate, fuse, index, people, rank, retrieve, telemetry
+from ..operators import agent, cache, chunking, evaluate, fuse, fuzzy_search, index, people, rank, retrieve, telemetry
 from ..operators import answer as A
 from ..shared import ON_CLEAR, settle, shared_path, state_of
 from ..shipping import ship
@@ -240,6 +240,29 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).select("query_id", "doc_id", "lexical_rank", F.round("score", 4).alias("score"))
 
 
+_SENTENCES: dict[tuple, str] = {}
+ON_CLEAR.append(_SENTENCES.clear)
+
+
+def sentence_index(spark: SparkSession, d: str) -> fuzzy_search.SentenceIndex:
+    """The sentence index of a folder's documents, kept like :func:`lexical`."""
+    at = (spark.sparkContext.applicationId, d, state_of(spark, f"{d}/documents.parquet"))
+    if at not in _SENTENCES:
+        path = shared_path(spark, "sentence-index")
+        fuzzy_search.build(docs(spark, d), path)
+        _SENTENCES[at] = path
+    return fuzzy_search.SentenceIndex.load(spark, _SENTENCES[at])
+
+
+@query()
+def fuzzy_topk(spark, d):
+    """Misspelt questions over all documents: the longest word of each item with its third character left out."""
+    word = F.try_element_at(F.array_sort(T.letters(F.col("question")), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(1))
+    q = asked(spark, d).withColumn("w", word).select("query_id", F.concat(F.substring("w", 1, 2), F.expr("substring(w, 4)")).alias("question"))
+    out = fuzzy_search.fuzzy_top(q, docs(spark, d), sentence_index(spark, d), ONTOLOGY, S.lexical_threshold, bonus=S.dept_bonus)
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 _TOKENS = ONTOLOGY.tokens()
 _SLUGS = lambda c: "list_distinct(list_filter([" + ", ".join(f"case when contains({_fold(c)}, '{t}') then '{s}' end" for t, s, _ in _TOKENS) + "], lambda x: x is not null))"
 _LABELS = "map {" + ", ".join(f"'{s}': '{T.fold_text(n)}'" for s, n in ONTOLOGY.departments.items()) + "}"
