@@ -5,7 +5,7 @@ to three characters with their counts. A question's terms reach sentences in two
 
 * by a close word, through the words that :func:`~.similar.close_words` finds in the vocabulary;
 * by a window: of one part more than a term may have edits, one stands whole in the sentence, so its rarest gram does.
-  Sentences shorter than the term come by any gram of the term. Length and counts of shared pairs drop most of what
+  Sentences shorter than the term come by one of their own parts, which stands in the term. Length and counts of shared pairs drop most of what
   comes; the rest is measured, each pair once.
 """
 
@@ -71,28 +71,38 @@ def build(docs: DataFrame, path: str | None = None) -> SentenceIndex:
     return SentenceIndex.load(spark, path)
 
 
-def _probes(terms: DataFrame, index: SentenceIndex, threshold: float) -> DataFrame:
-    """(term, gram, shorter): grams of which a sentence has one if it matches. For sentences as long or longer: of each part the
-    gram that fewest sentences have. For sentences as long or shorter all grams."""
-    n = F.length("term")
+def _parts(c: Column, threshold: float) -> Column:
+    """One part more than a string may have edits at ``threshold``, so one of them stands whole in what matches it."""
+    n = F.length(c)
     parts = F.least(F.floor(n * (2 * (1 - threshold / 100)) + 1e-9).cast("int") + 1, n)
     begin = lambda i: (F.floor(i * n / parts) + 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(F.col("term"), begin(i), begin(i + 1) - begin(i)))
-    segments = terms.select("term", F.posexplode(cut).alias("part", "segment"))
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(c, begin(i), begin(i + 1) - begin(i)))
+
+
+def _probes(terms: DataFrame, index: SentenceIndex, threshold: float) -> DataFrame:
+    """(term, gram): grams of which a sentence has one if it is as long as the term or longer and matches, of each part the
+    gram that fewest sentences have."""
+    segments = terms.select("term", F.posexplode(_parts(F.col("term"), threshold)).alias("part", "segment"))
     # a part of three characters or more is probed by its rarest run of three
     own = F.when(F.length("segment") <= 3, F.array("segment")).otherwise(F.filter(grams(F.col("segment")), lambda g: F.length(g) == 3))
     tried = segments.select("term", "part", F.explode(own).alias("gram")).join(index.counts, "gram", "left")
-    rarest = tried.groupBy("term", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select("term", F.col("g.gram").alias("gram"), F.lit(False).alias("shorter"))
-    every = terms.select("term", F.explode(grams(F.col("term"))).alias("gram"), F.lit(True).alias("shorter"))
-    return rarest.unionByName(every).distinct()
+    rarest = tried.groupBy("term", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select("term", F.col("g.gram").alias("gram"))
+    return rarest.distinct()
 
 
 def window_matches(terms: DataFrame, index: SentenceIndex, threshold: float) -> DataFrame:
     """(term, sid, score): sentences whose best window with a term (term) reaches ``threshold``."""
     ship(terms.sparkSession)
-    found = _probes(terms, index, threshold).join(index.grams, "gram")
-    found = found.join(index.sentences, "sid").filter(F.when(F.col("shorter"), F.length("folded") <= F.length("term")).otherwise(F.length("folded") >= F.length("term")))
-    pairs = found.filter(similar.may_match(F.col("term"), F.col("folded"), threshold)).select("term", "sid", "folded").distinct()
+    found = _probes(terms, index, threshold).join(index.grams, "gram").select("term", "sid").distinct()
+    longer = found.join(index.sentences, "sid").filter(F.length("folded") >= F.length("term")).select("term", "sid", "folded")
+    # sentences that are shorter than some term are few, and so are their parts
+    longest = terms.agg(F.max(F.length("term"))).first()[0] or 0
+    small = index.sentences.filter(F.length("folded") <= longest)
+    places = F.sequence(F.lit(1), F.length("term"))
+    runs = F.flatten(F.transform(places, lambda k: F.transform(places, lambda i: F.substring(F.col("term"), i, k))))
+    inside = terms.select("term", F.explode(F.array_distinct(runs)).alias("part"))
+    shorter = small.select("sid", "folded", F.explode(F.array_distinct(_parts(F.col("folded"), threshold))).alias("part")).join(inside, "part").filter(F.length("folded") <= F.length("term"))
+    pairs = longer.unionByName(shorter.select("term", "sid", "folded")).filter(similar.may_match(F.col("term"), F.col("folded"), threshold)).distinct()
     pairs = settle(pairs.withColumn("whole", F.contains("folded", F.col("term")) | F.contains("term", F.col("folded"))), "fuzzy-pairs")
     rest = pairs.filter("not whole").withColumn("score", column(partial_ratio, F.col("term"), F.col("folded"))).filter(F.col("score") >= threshold)
     return pairs.filter("whole").select("term", "sid", F.lit(100.0).alias("score")).unionByName(rest.select("term", "sid", "score"))
