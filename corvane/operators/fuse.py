@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from ..shipping import ship
 
 
@@ -88,4 +89,4 @@ def diversify(ranked: DataFrame, k: int, lam: float = 0.3, lam_short: float = 0.
         return part.select(["query_id", "doc_id"]).take(at).append_column("mmr_rank", pa.array(range(1, len(at) + 1), pa.int32()))
 
     kinds = dict(ranked.dtypes)
-    return rows.groupBy("query_id").applyInArrow(choose, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, mmr_rank int")
+    return spread(rows, "query_id").groupBy("query_id").applyInArrow(choose, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, mmr_rank int")

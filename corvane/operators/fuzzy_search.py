@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fuzzy import column, partial_ratio
 from ..functions.ontology import Ontology
-from ..shared import settle, shared_path
+from ..shared import settle, shared_path, spread
 from ..shipping import ship
 from . import similar
 from .retrieve import department_bonus, question_terms, top
@@ -104,7 +104,7 @@ def window_matches(terms: DataFrame, index: SentenceIndex, threshold: float) ->
     shorter = small.select("sid", "folded", F.explode(F.array_distinct(_parts(F.col("folded"), threshold))).alias("part")).join(inside, "part").filter(F.length("folded") <= F.length("term"))
     pairs = longer.unionByName(shorter.select("term", "sid", "folded")).filter(similar.may_match(F.col("term"), F.col("folded"), threshold)).distinct()
     pairs = settle(pairs.withColumn("whole", F.contains("folded", F.col("term")) | F.contains("term", F.col("folded"))), "fuzzy-pairs")
-    rest = pairs.filter("not whole").withColumn("score", column(partial_ratio, F.col("term"), F.col("folded"))).filter(F.col("score") >= threshold)
+    rest = spread(pairs.filter("not whole"), "term", "sid").withColumn("score", column(partial_ratio, F.col("term"), F.col("folded"))).filter(F.col("score") >= threshold)
     return pairs.filter("whole").select("term", "sid", F.lit(100.0).alias("score")).unionByName(rest.select("term", "sid", "score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fuzzy import column, partial_ratio
-from ..shared import settle
+from ..shared import settle, spread
 from ..shipping import ship
 
 #: Least similarity of two words, and the longest word that is taken by deletions (two of them at most).
@@ -70,7 +70,7 @@ def close_words(words: DataFrame, terms: DataFrame, similarity: float = WORD_SIM
     no term is near are left out first.
     """
     near = terms.select(F.explode(F.array(*[F.length("term") + d for d in (-1, 0, 1)])).alias("n")).distinct()
-    few = words.join(near, F.length("word") == F.col("n"), "left_semi")
+    few = spread(words.join(near, F.length("word") == F.col("n"), "left_semi"), "word")
     # edits are bounded by deletions up to their length, by parts beyond
     own = few.select("word", F.explode(F.concat(_deletions(F.col("word"), similarity), _segment_places(F.col("word"), similarity))).alias("key"))
     other = terms.select("term", F.explode(F.concat(_deletions(F.col("term"), similarity), _segments(F.col("term"), similarity))).alias("key"))
@@ -117,6 +117,6 @@ def window_scores(sentences: DataFrame, terms: DataFrame, threshold: float) -> D
     whole = rows.filter("whole").select("query_id", "folded", F.lit(100.0).alias("score"))
     kept = F.filter("asked", lambda t: may_match(t, F.col("folded"), threshold))
     pairs = settle(rows.filter("not whole").select("query_id", "folded", F.explode(kept).alias("term")), "window-pairs")
-    tried = pairs.select("term", "folded").distinct().withColumn("score", column(partial_ratio, F.col("term"), F.col("folded"))).filter(F.col("score") >= threshold)
+    tried = spread(pairs.select("term", "folded").distinct(), "term", "folded").withColumn("score", column(partial_ratio, F.col("term"), F.col("folded"))).filter(F.col("score") >= threshold)
     part = pairs.join(tried, ["term", "folded"]).groupBy("query_id", "folded").agg(F.max("score").alias("score"))
     return whole.unionByName(part)

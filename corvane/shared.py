@@ -43,6 +43,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has. Spark joins small partitions of its own shuffles by their bytes; rows that
+    are few but take long to work on are better dealt by a stated number."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, none if it isn't there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
