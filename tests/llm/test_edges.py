@@ -30,11 +30,14 @@ def folders(spark, tmp_path_factory):
     bench = [(1, " ".join(WORDS[:14])), (2, None), (3, ""), (None, "x y z"), (4, "word"), (4, "word")]
     pages = [(1, "http://A.b/x", "<p>é</p>"), (2, "http://a.b/x", "<p>é</p>"), (3, None, None), (None, "http://[bad", ""), (5, "", "z" * 300_000), (5, "https://c.d:8080/y?q#f", "z" * 300_000)]
     labels = [(100 + i, 1, i % 2) for i in range(8)] + [(1, None, 1), (None, 0, 0), (4, 0, None)]
+    vectors = [(0, [1.0, 0.5], 1), (1, [1.0, 0.4], 2), (2, [0.5, 0.25], 3), (2, [0.5, 0.25], 3), (3, None, 1), (4, [1.0, None], 1), (None, [1.0, 1.0], 1), (5, [1.0, 1.0], None), (6, [], 3)]
+    turns = [(1, None, None, None), (1, 1, "user", ""), (1, 1, "user", ""), (2, 1, "user", "ü𝄞 " * 20_000), (None, 1, "user", "x"), (101, 3, "user", "a"), (101, 3, "user", "b")]
     for name, keep in (("odd", None), ("empty", 0)):
         root = tmp_path_factory.mktemp(name)
         for table, rows, schema in (
             ("documents", odd_rows(), SCHEMA), ("benchmark", bench, "item_id long, text string"), ("pages", pages, "page_id long, url string, html string"),
-            ("labels", labels, "doc_id long, quality int, toxic int"),
+            ("labels", labels, "doc_id long, quality int, toxic int"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int"),
+            ("conversations", turns, "conv_id long, turn long, role string, text string"),
         ):
             df = spark.createDataFrame(rows if keep is None else [], schema)
             # columns whose names the operators use inside
@@ -102,7 +105,23 @@ def check_op10(by):
     assert len({(r.shard, r.grown_shard) for r in by[8]}) == 1 and all(r.grown_shard in (r.shard, 8) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(llm.queries()))
+def check_op11(by):
+    assert all((r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == (0, 0, 0, sha(""), "") for rows in by.values() for r in rows)
+
+
+def test_odd_vectors(spark, folders):
+    # anchor 0 has label 2 after its move; its one positive is 1, with 256 * 256 + 128 * 102 points; 2 has half of the anchor's own
+    got = llm.queries()["op12_hard_negatives"](spark, folders["odd"]).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 2, 78592, 128 * 256 + 64 * 128)]
+
+
+def test_odd_conversations(spark, folders):
+    got = llm.queries()["op13_prefix_trie"](spark, folders["odd"]).collect()
+    root = next(r for r in got if r.depth == 0)
+    assert (root.conv_id, root.parent_conv_id, root.n_convs) == (1, None, 3) and root.n_leaves == sum(r.n_children == 0 for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(set(llm.queries()) - {"op12_hard_negatives", "op13_prefix_trie"}))
 def test_odd_rows(spark, folders, name):
     got = llm.queries()[name](spark, folders["odd"]).collect()
     assert len(got) == (6 if name.startswith("op8_") else len(odd_rows()))
