@@ -79,11 +79,6 @@ def score_pairs(df: DataFrame, scorer: Callable[[str, str], float | list[float]]
     return df.withColumn(out, score(F.col(question), F.col(text)))
 
 
-def no_language_model(system: str, prompt: str) -> tuple[str, None]:
-    """A language model that is not there: no text, no data."""
-    return "", None
-
-
 def with_retries(call: Callable[..., tuple], attempts: int = 3, wait: Callable[[float], None] | None = None) -> Callable[..., tuple]:
     """``call`` tried up to ``attempts`` times, waiting 2, 4, .. seconds, 10 at most; then no text, no data."""
     import time

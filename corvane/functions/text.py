@@ -33,6 +33,8 @@ GENERIC_NAME_TOKENS = (
 )
 HINT_WORDS = {"computacao": ("computacao", "comp.", "bcc", "bsi", "dco"), "psicologia": ("psicologia", "dpsi"), "biologia": ("biologia", "dcb")}
 ASK_QUESTION, ASK_DETAIL = "Não entendi. Pode escrever sua pergunta?", "Pode detalhar melhor a sua pergunta?"
+ORDINAL_IN_WORD, ORDINAL_BEFORE_LOWER, ORDINAL_BEFORE_UPPER = r"(?U)(?<=\w)ª(?=\w)", r"(?<![0-9nN])º(?=[a-záéíóúãõêô])", r"(?<![0-9nN])º(?=[A-ZÁÉÍÓÚÃÕÊÔ])"
+BROKEN_NAME, WHOLE_NAME = "Ant´nio", "Antônio"
 # ---- end of fixed values ----
 
 
@@ -104,10 +106,10 @@ def repair(c: Column) -> Column:
     """Mojibake repair: encoding round trips undone, the character table, ordinal signs inside words, one name, composed
     letters."""
     c = map_mojibake(compose(undo_latin1(c)))
-    c = F.regexp_replace(c, r"(?U)(?<=\w)ª(?=\w)", "ê")
-    c = F.regexp_replace(c, r"(?<![0-9nN])º(?=[a-záéíóúãõêô])", "ú")
-    c = F.regexp_replace(c, r"(?<![0-9nN])º(?=[A-ZÁÉÍÓÚÃÕÊÔ])", "Ú")
-    return compose(F.replace(c, F.lit("Ant´nio"), F.lit("Antônio")))
+    c = F.regexp_replace(c, ORDINAL_IN_WORD, "ê")
+    c = F.regexp_replace(c, ORDINAL_BEFORE_LOWER, "ú")
+    c = F.regexp_replace(c, ORDINAL_BEFORE_UPPER, "Ú")
+    return compose(F.replace(c, F.lit(BROKEN_NAME), F.lit(WHOLE_NAME)))
 
 
 def cache_form(c: Column) -> Column:

@@ -41,12 +41,6 @@ def cap_by(ranked: DataFrame, limit: int = 2, by: str = "source", rank: str = "f
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(rank)))
 
 
-def first_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*key).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def mmr_order(relevance: list[float], texts: list[str], k: int, lam: float) -> list[int]:
     """Positions chosen one by one by lam * relevance - (1 - lam) * likeness to what is chosen; the first of equals."""
     from ..functions.fuzzy import token_set_ratio

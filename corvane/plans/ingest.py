@@ -54,13 +54,29 @@ def update(spark: SparkSession, folder: str, path: str, settings: Settings | Non
         return {"new": manifest(spark, path).count()}
     # listed and hashed once: the contents of changed files are read from what is written here
     found = settle(files.scan(spark, folder), "files")
-    status = settle(tables.diff(found.select(F.col("source").alias("source_file"), "file_hash"), manifest(spark, path)), "status")
+    return _apply(spark, path, found, manifest(spark, path), settings, ontology, embedder, cache_path)
+
+
+def add(spark: SparkSession, found: DataFrame, path: str, settings: Settings | None = None, ontology: Ontology | None = None, embedder=None, cache_path: str | None = None) -> dict[str, int]:
+    """Bring the tables up to date with some files (as :func:`corvane.sources.files.scanned` gives them) and leave all others
+    as they are: what is read and written grows with these files. Files that are held already change nothing."""
+    found = settle(found, "files")
+    known = manifest(spark, path).join(found.select(F.col("source").alias("source_file")), "source_file", "left_semi")
+    return _apply(spark, path, found, known, settings, ontology, embedder, cache_path)
+
+
+def _apply(spark: SparkSession, path: str, found: DataFrame, known: DataFrame, settings: Settings | None, ontology: Ontology | None, embedder, cache_path: str | None) -> dict[str, int]:
+    """A segment of what differs between ``found`` and the manifest rows ``known``."""
+    status = settle(tables.diff(found.select(F.col("source").alias("source_file"), "file_hash"), known), "status")
     counts = {r.status: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
     if set(counts) <= {"unchanged"}:
         return counts
-    add, out = status.filter("status in ('new', 'modified')"), status.filter("status in ('deleted', 'modified')")
-    fresh = found.join(add.select(F.col("source_file").alias("source")), "source", "left_semi")
-    gone = chunks(spark, path).select("doc_id", "text", "source").join(out.select(F.col("source_file").alias("source")), "source", "left_semi").drop("source")
+    changed, out = status.filter("status in ('new', 'modified')"), status.filter("status in ('deleted', 'modified')")
+    fresh = found.join(changed.select(F.col("source_file").alias("source")), "source", "left_semi")
+    if version(spark, path):
+        gone = chunks(spark, path).select("doc_id", "text", "source").join(out.select(F.col("source_file").alias("source")), "source", "left_semi").drop("source")
+    else:
+        gone = spark.createDataFrame([], "doc_id long, text string")
     deleted = status.filter("status = 'deleted'").select("source_file", F.lit(None).cast("string").alias("file_hash"), F.current_timestamp().alias("processed_at"))
     segments.append(spark, path, _chunks(fresh, settings or Settings(), ontology, embedder), settle(gone, "gone"), _manifest(fresh).unionByName(deleted))
     forget(spark, cache_path)

@@ -28,11 +28,15 @@ SENTINEL = "Nenhum documento foi carregado."
 
 def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, ordered: bool = False) -> DataFrame:
     """(source, file_ext, file_hash, content) of the files below ``folder`` with one of the extensions."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    out = scanned(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), extensions)
+    return out.orderBy("source") if ordered else out
+
+
+def scanned(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """:func:`scan` of files (path, content) that are read already, from a folder or a stream."""
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     out = files.withColumn("file_ext", ext).filter(F.col("file_ext").isin(*[e.lower() for e in extensions]))
-    out = out.select(F.col("path").alias("source"), "file_ext", F.sha2("content", 256).alias("file_hash"), "content")
-    return out.orderBy("source") if ordered else out
+    return out.select(F.col("path").alias("source"), "file_ext", F.sha2("content", 256).alias("file_hash"), "content")
 
 
 def decode_text(content):

@@ -33,9 +33,11 @@ def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, manifest: C
 
 
 def ingest_folder_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, **options):
-    """Files that arrive below ``folder`` into chunks, vectors and index tables under ``path``: each batch of new files sets
-    off one update of what has changed (``options`` as for :func:`corvane.plans.ingest.update`)."""
+    """Files that arrive below ``folder`` into chunks, vectors and index tables under ``path``: a batch reads its own new files
+    and adds one segment (``options`` as for :func:`corvane.plans.ingest.add`). A batch that comes again after a restart
+    finds its files held and changes nothing."""
     from ..plans import ingest
+    from ..sources.files import scanned
 
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return files.select("path").writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: ingest.update(spark, folder, path, **options) and None)
+    return files.select("path", "content").writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: ingest.add(spark, scanned(batch), path, **options) and None)

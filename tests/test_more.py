@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.config import Settings
 from corvane.functions import models
 from corvane.functions import text as T
-from corvane.operators import agent, cache, chunking, fuse, people, retrieve
+from corvane.operators import agent, cache, chunking, fuse, people, retrieve, segments
 from corvane.plans import ingest
 from corvane.shared import shared_path
 from corvane.sources import files
@@ -186,6 +186,37 @@ def test_ingest_stream_builds_the_index(spark, tmp_path):
     run = streams.ingest_folder_stream(spark, str(src), out, f"{tmp_path}/cp").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert run.exception() is None and ingest.chunks(spark, out).count() == 1
+    # a second start takes only the new file; the first one's chunks stay where they were written
+    (src / "b.txt").write_text("Segundo texto.")
+    run = streams.ingest_folder_stream(spark, str(src), out, f"{tmp_path}/cp").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    held = segments.segments(spark, out)
+    assert run.exception() is None and [spark.read.parquet(f"{out}/segments/{s.name}/chunks").count() for s in held] == [1, 1]
+    # the same batch once more, as after a lost commit
+    assert ingest.add(spark, files.scan(spark, str(src)), out) == {"unchanged": 2} and ingest.version(spark, out) == 2
+
+
+def test_event_stream_appends(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "event_id long, event_type string").write.json(f"{tmp_path}/in")
+    events = spark.readStream.schema("event_id long, event_type string").json(f"{tmp_path}/in")
+    run = streams.append_events(events, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.read.json(f"{tmp_path}/out").select("event_id", "event_type").collect()) == [(1, "a"), (2, "b")]
+
+
+def test_debug_dump(spark, tmp_path):
+    files.dump_debug(spark.createDataFrame([(7, "Qual é?", "{}")], "query_id int, question string, payload string"), f"{tmp_path}/dump")
+    assert [p.name for p in (tmp_path / "dump").iterdir() if p.is_dir()] == ["file=007_Qual_.json"]
+
+
+def test_whole_lists(spark):
+    """Neither histories nor contact lists are cut."""
+    turns = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(80)], "conv_id int, turn int, role string, text string")
+    assert {r.turn: len(r.history) for r in agent.history(turns).collect()} == {t: t for t in range(80)}
+    assert max(len(r.history) for r in agent.history(turns, 5).collect()) == 5
+    block = "Ana Maria Souza\n" + "\n".join(f"(14) 3103-{i:04d}" for i in range(1200))
+    docs = spark.createDataFrame([("a.txt", 0, block)], "source string, chunk int, text string")
+    assert len(people.contact_index(docs)[0].first().phones) == 1200 and len(people.contact_index(docs, most=10)[0].first().phones) == 10
 
 
 def test_cache_keys_tell_apart(spark):
