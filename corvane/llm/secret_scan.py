@@ -53,20 +53,17 @@ _ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.2788680
 _STEPS, _LAST = 100, 30_000
 
 
-def upper_tail(z: Column) -> Column:
-    """The normal distribution's share above ``z``."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + x / 2)
+def upper_tail(z: Column, t: Column) -> Column:
+    """The normal distribution's share above ``z``; ``t`` is 1 / (1 + |z| / sqrt(8))."""
     p = F.lit(_ERFC[-1])
     for c in reversed(_ERFC[:-1]):
         p = p * t + c
-    half = t * F.exp(-x * x + p) / 2
+    half = t * F.exp(p - z * z / 2) / 2
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def fisher(*ps: Column) -> Column:
-    """One p-value of three: half of -2 sum ln p has a gamma distribution of shape 3."""
-    h = sum((-F.ln(F.greatest(p, F.lit(1e-300))) for p in ps), F.lit(0.0))
+def fisher(h: Column) -> Column:
+    """One p-value of three, from -sum ln p: half of Fisher's statistic has a gamma distribution of shape 3."""
     return F.least(F.lit(1.0), F.exp(-h) * (1 + h + h * h / 2))
 
 
@@ -135,10 +132,16 @@ def battery(runs: DataFrame, pairs: list[tuple[str, str, int]]) -> DataFrame:
     s = of("apart")
     more = (F.col("switches") - (n - 1) * s) / F.sqrt((n - 1) * s * (1 - s))
     less = (F.col("product") - of("mean")) * F.sqrt((n - 1) / of("var"))
-    plain = fisher(upper_tail(-chi(of("p2"), of("p3"))), upper_tail(F.when(s <= 0.5, more).otherwise(-more)), upper_tail(F.when(of("mean") >= 0, -less).otherwise(less)))
-    z = (chi(1 / k, 1 / (k * k)), (F.col("switches") - (n - 1) / 2) / F.sqrt((n - 1) / 4), F.col("product") * F.sqrt(n - 1))
-    chance = fisher(*[F.least(F.lit(1.0), 2 * upper_tail(F.abs(x))) for x in z])
-    return out.withColumn("p_plain", plain).withColumn("p_random", chance).select(*runs.columns, "encoding", "n", "p_plain", "p_random")
+    # one column a score and a p-value: nested, each would be written out wherever the tail's polynomial names it
+    scores = {
+        "z1": -chi(of("p2"), of("p3")), "z2": F.when(s <= 0.5, more).otherwise(-more), "z3": F.when(of("mean") >= 0, -less).otherwise(less),
+        "z4": F.abs(chi(1 / k, 1 / (k * k))), "z5": F.abs((F.col("switches") - (n - 1) / 2) / F.sqrt((n - 1) / 4)), "z6": F.abs(F.col("product") * F.sqrt(n - 1)),
+    }
+    out = out.withColumns(scores)
+    out = out.withColumns({f"t{i}": 1 / (1 + F.abs(f"z{i}") / (2 * math.sqrt(2))) for i in range(1, 7)})
+    out = out.withColumns({f"p{i}": F.least(F.lit(1.0), (1 if i < 4 else 2) * upper_tail(F.col(f"z{i}"), F.col(f"t{i}"))) for i in range(1, 7)})
+    out = out.withColumns({name: sum((-F.ln(F.greatest(F.col(f"p{i}"), F.lit(1e-300))) for i in of_these), F.lit(0.0)) for name, of_these in (("h1", (1, 2, 3)), ("h2", (4, 5, 6)))})
+    return out.select(*runs.columns, "encoding", "n", fisher(F.col("h1")).alias("p_plain"), fisher(F.col("h2")).alias("p_random"))
 
 
 def discoveries(tested: DataFrame, fdr: float = FDR) -> DataFrame:
