@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import settle, shared_path
+from ..shared import settle, shared_path, spread
 from ..sources.tables import number_rows
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents of a range; bits of a range's number below its segment's.
-RANGE_DOCS, SEGMENT_BITS = 64, 40
+RANGE_DOCS, SEGMENT_BITS = 32, 40
 TABLES = ("blocks", "doc_len", "terms", "sums", "gone")
 
 
@@ -87,7 +87,7 @@ def write_segment(docs: DataFrame, path: str, number: int = 0, gone: DataFrame |
     placed = number_rows(words.select("doc_id", "dl"), ["dl", "doc_id"], "at")
     doc_len = settle(placed.select("doc_id", "dl", (F.floor(F.col("at") / RANGE_DOCS) + (number << SEGMENT_BITS)).alias("range")), "ranges")
     doc_len.write.parquet(f"{path}/doc_len")
-    rows = words.join(doc_len.select("doc_id", "range"), "doc_id").repartition("range").select("range", "doc_id", "dl", F.explode("ws").alias("term"))
+    rows = spread(words.join(doc_len.select("doc_id", "range"), "doc_id"), "range").select("range", "doc_id", "dl", F.explode("ws").alias("term"))
     counts = rows.groupBy("range", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     blocks = counts.groupBy("range", "term").agg(
         F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"), F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl")
