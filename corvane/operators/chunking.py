@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import Settings
 from ..functions import text as T
@@ -16,6 +18,8 @@ from ..shipping import ship
 # fixed values: words whose full stop ends no sentence; pieces of over-long sentences
 ABBREVIATIONS = ("sr", "sra", "srta", "prof", "profa", "profª", "prof.", "dra", "dr", "d.", "etc", "dti", "staepe", "stpg")
 SEPARATORS = ("; ", ", ", " ", "")
+#: Characters of chunks that a task's Python holds at once.
+PACKED = 1_000_000
 _LONGEST, _INK = max(map(len, ABBREVIATIONS)), re.compile(r"\S")
 _PROTECTED = [re.compile(p) for p in (T.EMAIL, T.PHONE, T.URL, T.ACRONYM)]
 
@@ -123,14 +127,32 @@ def chunk(docs: DataFrame, settings: Settings | None = None, ontology: Ontology
     s = settings or Settings()
     size, overlap = s.chunk_size, s.chunk_overlap
 
-    @F.pandas_udf("array<struct<text: string, tokens: int>>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": c, "tokens": n} for c, n in pack(t or "", size, overlap)] for t in texts])
-
-    split = docs.withColumn("_c", packed(F.col(text)))
     names = [c for c in docs.columns if c not in (text, source)]
-    out = split.select(F.col(source).alias("source"), *names, F.size("_c").alias("chunk_total"), F.posexplode("_c").alias("chunk", "_p"))
-    out = out.withColumn("text", F.col("_p.text")).withColumn("chunk_tokens", F.col("_p.tokens")).drop("_p")
+    rows = docs.select(F.col(source).alias("source"), *names, F.col(text).alias("text"))
+    added = StructType.fromDDL("chunk_total int, chunk int, text string, chunk_tokens int")
+    schema = StructType([*rows.drop("text").schema.fields, *added.fields])
+    fields = to_arrow_schema(schema)
+
+    def packed(batches):
+        """Chunks of PACKED characters of text at a time, so a task's Python holds a bounded number of them."""
+        for batch in batches:
+            texts, begin = batch.column(batch.num_columns - 1), 0
+            held: list = []
+            weight = 0
+            for i in range(batch.num_rows):
+                held.append(pack(texts[i].as_py() or "", size, overlap))
+                weight += sum(len(c) for c, _ in held[-1])
+                if weight < PACKED and i + 1 < batch.num_rows:
+                    continue
+                totals = [len(c) for c in held]
+                row = [begin + j for j, n in enumerate(totals) for _ in range(n)]
+                own = batch.select(list(range(batch.num_columns - 1))).take(pa.array(row, pa.int64()))
+                more = [[totals[j - begin] for j in row], [p for n in totals for p in range(n)], [t for c in held for t, _ in c], [n for c in held for _, n in c]]
+                yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(m, fields.field(n).type) for m, n in zip(more, added.names, strict=True)]], names=schema.names)
+                begin, held, weight = i + 1, [], 0
+
+    out = rows.mapInArrow(packed, schema)
+    out = out.select("source", *names, "chunk_total", "chunk", "text", "chunk_tokens")
     sector = (ontology or Ontology()).first_match(F.lower("text"))
     return (
         out.withColumn("section", T.section_title(F.col("text")))
