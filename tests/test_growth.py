@@ -1,7 +1,16 @@
 """Odd values in tables, and steps whose memory must not follow their input."""
 
+import random
+import re
+
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
+from corvane.config import Settings
+from corvane.functions import text as T
+from corvane.functions.ontology import tag_entities
+from corvane.operators import chunking, index, retrieve
 from corvane.plans import registry
 
 
@@ -13,3 +22,103 @@ def test_scores_without_a_value_are_as_in_sql(spark, tmp_path):
     got, want = registry.QUERIES["score_cleanup"](spark, str(tmp_path)), con.sql(registry.ORACLE_SQL["score_cleanup"])
     told = lambda r: (r[0], *[None if x is None else repr(x) for x in r[1:]])
     assert sorted(told(tuple(r)) for r in got.select("event_id", "safe", "clean").collect()) == sorted(told(r) for r in want.fetchall())
+
+
+def _peak(spark):
+    """Largest memory, MB, that a Python worker of the session has had."""
+
+    def used(batches):
+        import resource
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10]})
+
+    return max(r.mb for r in spark.range(0, 64, 1, 16).mapInArrow(used, "mb long").collect())
+
+
+def test_vector_search_holds_few_products_at_once(spark):
+    rnd = np.random.default_rng(1)
+    x, q = rnd.integers(-9, 9, (10_000, 8)).astype(float), rnd.integers(-9, 9, (3000, 8)).astype(float)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "doc_id long, embedding array<double>").coalesce(1)
+    asks = spark.createDataFrame([(i, 0, v) for i, v in enumerate(q.tolist())], "query_id long, variant int, qvec array<double>")
+    got = {(r.query_id, r.rank): (r.doc_id, r.distance) for r in retrieve.vector_top(asks, vectors, 3).collect()}
+    for i in range(0, 3000, 100):
+        d = ((x - q[i]) ** 2).sum(axis=1)
+        assert [got[i, n + 1] for n in range(3)] == [(int(j), float(d[j])) for j in np.lexsort((np.arange(10_000), d))[:3]]
+    # ten thousand rows by three thousand questions are 240 MB a copy
+    assert _peak(spark) < 500
+
+
+def test_one_pass_finds_the_best_of_every_question_with_ties(spark, monkeypatch):
+    """Groups of equal texts, cut into small pieces and blocks of questions, against all scores."""
+    rnd = random.Random(7)
+    words = [f"{a}{b}" for a in "bcdfgklm" for b in ("alo", "ero", "ino", "uta")]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30))) for _ in range(150)]
+    rows = [(i, texts[int(rnd.random() ** 3 * 150)]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(index, "COUNTED", 200)
+    built = index.build(docs)
+    q = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(4))) for i in range(25)] + [(99, "absent")], "query_id int, question string")
+    want = {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in retrieve.top(retrieve.bm25(q, built).withColumn("score", F.round("score", 9)), 7).collect()}
+    for block in (3, 4096):
+        found = retrieve._scanned(retrieve._weights(q, built), built, 7, block).withColumn("score", F.round("score", 9))
+        assert {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in retrieve.top(found, 7).collect()} == want and len(want) > 150
+    # no score of a single question is shuffled before a task has cut it to its best
+    assert found.count() < 1500 * 25 / 4
+
+
+def test_blocks_hold_all_postings_in_order(spark, monkeypatch):
+    monkeypatch.setattr(index, "COUNTED", 50)
+    rows = [(f"d{i}", text) for i, text in enumerate(["Ação ação, ÀB ab!", "", None, "x y", "São KK Ÿz ßa", *[f"alfa beta{'x' * (i % 7)} alfa" for i in range(200)]])]
+    built = index.build(spark.createDataFrame(rows, "doc_id string, text string"))
+    want = {}
+    for i, text in rows:
+        for w in re.findall(T.LETTERS, text or ""):
+            if len(w) > 1:
+                want[T.fold_text(w), i] = want.get((T.fold_text(w), i), 0) + 1
+    assert {(r.term, r.doc_id): r.tf for r in built.postings.collect()} == want
+    for r in built.blocks.collect():
+        assert [x.doc_id for x in r.docs] == sorted(x.doc_id for x in r.docs) and r.top_tf == max(x.tf for x in r.docs) and r.least_dl == min(x.dl for x in r.docs)
+
+
+def test_tasks_of_the_index_follow_its_tokens(spark, monkeypatch):
+    """More tokens, more tasks: what a task holds doesn't grow with the corpus."""
+    monkeypatch.setattr(index, "TASK_TOKENS", 100)
+    docs = spark.createDataFrame([(i, "alfa beta gama delta " * 5) for i in range(640)], "doc_id long, text string")
+    assert index.build(docs).blocks.select(F.input_file_name()).distinct().count() > 8
+
+
+def test_chunks_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "PACKED", 500)
+    texts = [None, "", " ", *[f"Uma frase {i} de teste. Outra frase com mais palavras. " * (i % 9) for i in range(60)]]
+    docs = spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)], "doc_id int, source string, text string").coalesce(1)
+    s = Settings(chunk_size=12, chunk_overlap=3)
+    got = {}
+    for r in chunking.chunk(docs, s).select("doc_id", "source", "chunk", "chunk_total", "text", "chunk_tokens").collect():
+        got[r.doc_id, r.chunk] = (r.source, r.chunk_total, r.text, r.chunk_tokens)
+    want = {}
+    for i, t in enumerate(texts):
+        cut = chunking.pack(t or "", 12, 3)
+        want |= {(i, n): (f"s{i}", len(cut), c, k) for n, (c, k) in enumerate(cut)}
+    assert got == want and len(want) > 100
+
+
+def _copies(expression, marker):
+    """How often a plan works out a piece of an expression."""
+    return expression._jdf.queryExecution().optimizedPlan().toString().count(marker)
+
+
+def test_texts_are_folded_once_for_all_phrases(spark):
+    docs = spark.createDataFrame([(1, "a The Department of keine Sache"), (2, None)], "doc_id int, text string")
+    tagged = tag_entities(docs, registry.ONTOLOGY)
+    assert _copies(tagged, "[^\\p{L}\\p{N}]+") == 1
+    assert [None if r.entities is None else [e.phrase for e in r.entities] for r in tagged.orderBy("doc_id").collect()] == [["the department", "the", "keine"], []]
+
+
+def test_repair_works_each_step_out_once(spark):
+    docs = spark.createDataFrame([("SÃ£o Ant´nio", ), ("é", ), (None, )], "t string")
+    fixed = docs.select(T.repair(F.col("t")).alias("t"))
+    assert _copies(fixed, "is_valid_utf8") <= 1
+    assert [r.t for r in fixed.collect()] == ["São\nAntônio", "\u00e9", None]
