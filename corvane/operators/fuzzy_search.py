@@ -1,30 +1,38 @@
 """Fuzzy search over a whole corpus: a stored index of its sentences, for questions that word search has no answer to.
 
-The index holds each different folded sentence once, the documents that have it, its words, and its grams of one
-to three characters with their counts. A question's terms reach sentences in two ways:
+The index holds each different folded sentence once, the documents that have it, and its words. A question's terms reach
+sentences in two ways:
 
 * by a close word, through the words that :func:`~.similar.close_words` finds in the vocabulary;
-* by a window: of one part more than a term may have edits, one stands whole in the sentence, so its rarest gram does.
-  Sentences shorter than the term come by one of their own parts, which stands in the term. Length and counts of shared pairs drop most of what
-  comes; the rest is measured, each pair once.
+* by a window: of one part more than a term may have edits, one stands whole in the sentence, and the window lies about it.
+  All sentences are read once for all terms; a pair whose window can't be alike is dropped where it is found, so no grams
+  are stored or shuffled. Sentences shorter than the term come by one of their own parts, which stands in the term. What is
+  left is measured, each pair once.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import pickle
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.fuzzy import column, partial_ratio
 from ..functions.ontology import Ontology
-from ..shared import settle, shared_path, spread
+from ..shared import read_bytes, settle, shared_path, spread, write_bytes
 from ..shipping import ship
 from . import similar
 from .retrieve import department_bonus, question_terms, top
 
-TABLES = ("sentences", "places", "words", "grams", "counts")
+TABLES = ("sentences", "places", "words")
+#: Bytes of sentences that a task looks at once.
+LOOKED_AT = 4_000_000
 #: Documents that a question gets.
 LIMIT = 6
 
@@ -40,13 +48,14 @@ def grams(c: Column) -> Column:
 
 @dataclasses.dataclass
 class SentenceIndex:
-    """sentences (sid, folded), places (sid, doc_id), words (word, sid), grams (gram, sid), counts (gram, n)."""
+    """sentences (sid, folded), places (sid, doc_id), words (word, sid). Grams are no part of what is stored; who has them as
+    (gram, sid) and (gram, n) may keep them here."""
 
     sentences: DataFrame
     places: DataFrame
     words: DataFrame
-    grams: DataFrame
-    counts: DataFrame
+    grams: DataFrame | None = None
+    counts: DataFrame | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SentenceIndex:
@@ -65,9 +74,6 @@ def build(docs: DataFrame, path: str | None = None) -> SentenceIndex:
     words = F.array_distinct(F.filter(F.transform(T.letters(F.col("s")), T.fold), T.name_like))
     rows.select(F.explode(words).alias("word"), "sid").distinct().write.parquet(f"{path}/words")
     rows.select("sid", "folded").dropDuplicates(["sid"]).write.parquet(f"{path}/sentences")
-    one = spark.read.parquet(f"{path}/sentences")
-    one.select(F.explode(grams(F.col("folded"))).alias("gram"), "sid").write.parquet(f"{path}/grams")
-    spark.read.parquet(f"{path}/grams").groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
     return SentenceIndex.load(spark, path)
 
 
@@ -79,22 +85,96 @@ def _parts(c: Column, threshold: float) -> Column:
     return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(c, begin(i), begin(i + 1) - begin(i)))
 
 
-def _probes(terms: DataFrame, index: SentenceIndex, threshold: float) -> DataFrame:
-    """(term, gram): grams of which a sentence has one if it is as long as the term or longer and matches, of each part the
-    gram that fewest sentences have."""
-    segments = terms.select("term", F.posexplode(_parts(F.col("term"), threshold)).alias("part", "segment"))
-    # a part of three characters or more is probed by its rarest run of three
-    own = F.when(F.length("segment") <= 3, F.array("segment")).otherwise(F.filter(grams(F.col("segment")), lambda g: F.length(g) == 3))
-    tried = segments.select("term", "part", F.explode(own).alias("gram")).join(index.counts, "gram", "left")
-    rarest = tried.groupBy("term", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select("term", F.col("g.gram").alias("gram"))
-    return rarest.distinct()
+def _pieces(batch: pa.RecordBatch):
+    """Slices of a batch whose second column has about LOOKED_AT bytes."""
+    column, begin = batch.column(1), 0
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + LOOKED_AT)) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _about(sentence: bytes, at: int, offset: int, size: int, edits: int) -> bytes:
+    """What of a sentence a window may take up that has a term's part at ``at``, ``offset`` bytes after the term's begin."""
+    return sentence[max(0, at - offset - edits) : at - offset + size + edits]
+
+
+def _near(terms: DataFrame, sentences: DataFrame, threshold: float) -> DataFrame:
+    """(term, sid, folded): sentences that hold a part of the term, and about it all but two for each edit of the term's
+    different pairs of characters.
+
+    The terms lie in shared storage; a task looks for all parts in the bytes of many sentences at once.
+    """
+    spark = terms.sparkSession
+    at = f"{shared_path(spark, 'fuzzy-terms')}/0"
+    edits = F.floor(F.length("term") * (2 * (1 - threshold / 100)) + 1e-9).cast("int")
+    rows = [tuple(r) for r in terms.filter("term <> ''").select("term", edits, _parts(F.col("term"), threshold)).collect()]
+    parts, names = [], [r[0] for r in rows]
+    for n, (term, most, cut) in enumerate(rows):
+        plain, begin = term.isascii(), 0
+        pairs = [x.encode() for x in dict.fromkeys(term[i : i + 2] for i in range(len(term) - 1))]
+        for part in cut:
+            parts.append((part.encode(), n, begin if plain else None, len(term), most, pairs))
+            begin += len(part)
+    write_bytes(at, pickle.dumps((names, parts)))
+    schema = f"term string, sid {dict(sentences.dtypes)['sid']}, folded string"
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def look(batches):
+        names, parts = pickle.loads(read_bytes(at))
+        begins, by_size = np.zeros(1 << 16, bool), {}
+        for i, (part, *_) in enumerate(parts):
+            size = min(8, len(part))
+            by_size.setdefault(size, {}).setdefault(int.from_bytes(part[:size], "little"), []).append(i)
+            if len(part) > 1:
+                begins[int.from_bytes(part[:2], "little")] = True
+            else:
+                begins[part[0] :: 256] = True
+        codes = {size: np.array(sorted(held), np.uint64) for size, held in by_size.items()}
+        for batch in batches:
+            for piece in _pieces(batch):
+                column = piece.column(1)
+                ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                raw = np.frombuffer(column.buffers()[2], np.uint8, int(ends[-1]))[int(ends[0]) :]
+                ends = ends - ends[0]
+                told = set()
+                raw = np.r_[raw, np.zeros(8, np.uint8)]
+                place = np.flatnonzero(begins[raw[:-8].astype(np.uint16) | raw[1:-7].astype(np.uint16) << 8])
+                row = np.searchsorted(ends, place, side="right") - 1
+                code, left = np.zeros(len(place), np.uint64), ends[row + 1] - place
+                for size in range(1, 9):
+                    code |= raw[place + (size - 1)].astype(np.uint64) << np.uint64(8 * (size - 1))
+                    if size not in codes:
+                        continue
+                    i = np.minimum(np.searchsorted(codes[size], code), len(codes[size]) - 1)
+                    hit = np.flatnonzero((codes[size][i] == code) & (left >= size))
+                    last, text = -1, b""
+                    for r, p, c in zip(row[hit].tolist(), place[hit].tolist(), code[hit].tolist()):
+                        if r != last:
+                            last, text = r, raw[ends[r] : ends[r + 1]].tobytes()
+                            plain = text.isascii()
+                        for part, n, offset, length, most, pairs in (parts[x] for x in by_size[size][c]):
+                            if (r, n) in told:
+                                continue
+                            p_ = p - int(ends[r])
+                            if len(part) > 8 and not text.startswith(part, p_):
+                                continue
+                            about = _about(text, p_, offset, length, most) if plain and offset is not None else text
+                            if sum(x in about for x in pairs) >= len(pairs) - 2 * most:
+                                told.add((r, n))
+                order = sorted(told)
+                own = piece.take(pa.array([r for r, _ in order], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([names[n] for _, n in order], pa.string()), own.column(0).cast(fields[1].type), own.column(1).cast(pa.string())], schema=fields)
+
+    # a few MB of sentences take long to look at
+    return spread(sentences.select("sid", "folded"), "sid").mapInArrow(look, schema) if rows else spark.createDataFrame([], schema)
 
 
 def window_matches(terms: DataFrame, index: SentenceIndex, threshold: float) -> DataFrame:
     """(term, sid, score): sentences whose best window with a term (term) reaches ``threshold``."""
     ship(terms.sparkSession)
-    found = _probes(terms, index, threshold).join(index.grams, "gram").select("term", "sid").distinct()
-    longer = found.join(index.sentences, "sid").filter(F.length("folded") >= F.length("term")).select("term", "sid", "folded")
+    longer = _near(terms, index.sentences.filter("folded <> ''"), threshold).filter(F.length("folded") >= F.length("term")).select("term", "sid", "folded")
     # sentences that are shorter than some term are few, and so are their parts
     longest = terms.agg(F.max(F.length("term"))).first()[0] or 0
     small = index.sentences.filter(F.length("folded") <= longest)

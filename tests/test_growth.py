@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.config import Settings
 from corvane.functions import text as T
+from corvane.functions.fuzzy import partial_ratio
 from corvane.functions.ontology import tag_entities
-from corvane.operators import chunking, index, retrieve
+from corvane.operators import chunking, fuzzy_search, index, retrieve
 from corvane.plans import registry
 
 
@@ -118,7 +119,28 @@ def test_texts_are_folded_once_for_all_phrases(spark):
 
 
 def test_repair_works_each_step_out_once(spark):
-    docs = spark.createDataFrame([("SÃ£o Ant´nio", ), ("é", ), (None, )], "t string")
+    docs = spark.createDataFrame([("SÃ£o\nAnt´nio",), ("e\u0301",), (None,)], "t string")
     fixed = docs.select(T.repair(F.col("t")).alias("t"))
     assert _copies(fixed, "is_valid_utf8") <= 1
     assert [r.t for r in fixed.collect()] == ["São\nAntônio", "\u00e9", None]
+
+
+def test_fuzzy_index_stores_no_grams(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a sentence about biblioteca number {i}. another one") for i in range(50)], "doc_id long, text string")
+    fuzzy_search.build(docs, f"file://{tmp_path}/s")
+    assert sorted(x.name for x in tmp_path.joinpath("s").iterdir()) == ["places", "sentences", "words"]
+
+
+def test_fuzzy_windows_in_accented_and_long_words(spark, monkeypatch):
+    """Terms with letters of two bytes, parts of more than eight bytes, pieces of a few bytes."""
+    monkeypatch.setattr(fuzzy_search, "LOOKED_AT", 40)
+    rnd = random.Random(3)
+    letters = "abcßæø "
+    sentences = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 90))).strip() or "a" for _ in range(120)})
+    terms = sorted({s[k : k + n] for s in sentences for k, n in [(rnd.randrange(len(s)), rnd.choice((3, 9, 40)))] if s[k : k + n].strip()})[:60]
+    terms += [t[:2] + "b" + t[3:] for t in terms]
+    terms = sorted(set(terms))
+    held = fuzzy_search.SentenceIndex(spark.createDataFrame(list(enumerate(sentences)), "sid int, folded string"), None, None)
+    got = fuzzy_search.window_matches(spark.createDataFrame([(t,) for t in terms], "term string"), held, 80)
+    want = {(t, i): w for t in terms for i, s in enumerate(sentences) if (w := partial_ratio(t, s)) >= 80}
+    assert {(r.term, r.sid): r.score for r in got.collect()} == want and len(want) > 200
