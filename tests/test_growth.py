@@ -144,3 +144,21 @@ def test_fuzzy_windows_in_accented_and_long_words(spark, monkeypatch):
     got = fuzzy_search.window_matches(spark.createDataFrame([(t,) for t in terms], "term string"), held, 80)
     want = {(t, i): w for t in terms for i, s in enumerate(sentences) if (w := partial_ratio(t, s)) >= 80}
     assert {(r.term, r.sid): r.score for r in got.collect()} == want and len(want) > 200
+
+
+def test_texts_are_cut_in_whole_batches_as_the_expression_cuts_them(spark, monkeypatch):
+    """Letters, signs and scripts of all kinds, in pieces of a few hundred characters; no task cuts texts in a JVM pattern."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    monkeypatch.setattr(index, "CUT", 300)
+    rnd = random.Random(3)
+    signs = [*map(chr, range(1, 0x180)), *"ªº×÷…“日\U0001f600ıİſ", *"abcdeáéíóúñüABC    \n" * 20]
+    texts = [None, "", "a", "é", "  ", "a b c", "ab", "ÀB", *("".join(rnd.choice(signs) for _ in range(rnd.choice((1, 2, 3, 40, 400)))) for _ in range(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    schema = "doc_id long, ws string, dl int"
+    got = docs.mapInArrow(index._words_of(to_arrow_schema(StructType.fromDDL(schema))), schema)
+    ws = T.bm25_tokens(F.coalesce("text", F.lit("")))
+    want = docs.select("doc_id", F.array_join(ws, " ").alias("ws"), F.size(ws).alias("dl"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "regexp_extract_all" not in got._jdf.queryExecution().toString()
