@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.config import Settings
 from corvane.functions import text as T
-from corvane.functions.fuzzy import partial_ratio
+from corvane.functions.fuzzy import partial_ratio, ratio, token_set_ratio
 from corvane.functions.ontology import tag_entities
-from corvane.operators import chunking, fuzzy_search, index, retrieve
+from corvane.operators import chunking, fuse, fuzzy_search, index, retrieve
 from corvane.plans import registry
 
 
@@ -162,3 +162,44 @@ def test_texts_are_cut_in_whole_batches_as_the_expression_cuts_them(spark, monke
     want = docs.select("doc_id", F.array_join(ws, " ").alias("ws"), F.size(ws).alias("dl"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "regexp_extract_all" not in got._jdf.queryExecution().toString()
+
+
+def _mmr(relevance, texts, k, lam):
+    """The definition: each step compares all that is left with all that is chosen."""
+    chosen, left = [], list(range(len(texts)))
+    while left and len(chosen) < k:
+        value = {i: lam * relevance[i] - (1 - lam) * max((_set_ratio(texts[i], texts[j]) / 100 for j in chosen), default=0.0) for i in left}
+        chosen.append(max(left, key=lambda i: (value[i], -i)))
+        left.remove(chosen[-1])
+    return chosen
+
+
+def _set_ratio(a, b):
+    """All three ratios of the joined words, in full."""
+    left, right = set(a.split()), set(b.split())
+    common, only_a, only_b = sorted(left & right), sorted(left - right), sorted(right - left)
+    if not left or not right or (common and not (only_a and only_b)):
+        return 100.0 if left and right else 0.0
+    base, x, y = " ".join(common), " ".join(common + only_a), " ".join(common + only_b)
+    return max([ratio(x, y), *([ratio(base, x), ratio(base, y)] if common else [])])
+
+
+def test_diversity_compares_as_few_texts_as_it_needs_with_the_same_choice():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 6))) for _ in range(60)]
+    for n in range(150):
+        texts = [" ".join(rnd.choice(words) for _ in range(rnd.choice((0, 1, 5, 30)))) for _ in range(rnd.randint(1, 12))]
+        texts += texts[: n % 3]
+        relevance = [rnd.choice((0.0, 0.5, rnd.random())) for _ in texts]
+        k, lam = rnd.randint(1, 9), rnd.choice((0.25, 0.3, 1.0))
+        assert fuse.mmr_order(relevance, texts, k, lam) == (_mmr(relevance, texts, k, lam) if len(texts) > k else list(range(len(texts))))
+        assert all(token_set_ratio(a, b) == _set_ratio(a, b) for a, b in zip(texts, texts[1:]))
+
+
+def test_diversity_reads_whole_texts(spark):
+    """Two texts that begin alike for 600 characters and go on differently, and one that is a copy of the first."""
+    begin = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"{chr(97 + i % 26) * 3}{i}" for i in range(2000))
+    rows = [(1, "q", 1, f"{begin} tail", 1.0, 1), (1, "q", 2, f"{begin} tail", 1.0, 2), (1, "q", 3, f"{begin} {other}", 0.99, 3)]
+    ranked = spark.createDataFrame(rows, "query_id int, question string, doc_id int, text string, vector_score double, place int").withColumn("lexical_score", F.lit(None).cast("double"))
+    assert [r.doc_id for r in fuse.diversify(ranked, 2).orderBy("mmr_rank").collect()] == [1, 3]
