@@ -62,19 +62,19 @@ def _segment_places(word: Column, similarity: float) -> Column:
     return F.when(n >= DELETED_TO, F.array_distinct(F.concat(of(n - 1), of(n), of(n + 1)))).otherwise(F.array().cast("array<string>"))
 
 
-def close_words(words: DataFrame, terms: DataFrame, similarity: float = WORD_SIMILARITY) -> DataFrame:
+def close_words(words: DataFrame, terms: DataFrame, similarity: float = WORD_SIMILARITY, sent=lambda keys: keys) -> DataFrame:
     """(word, term, score): pairs of different words and terms with a normalised edit distance that leaves ``similarity``, and
     lengths one apart at most; score is 0 to 100.
 
     Words meet terms by equal keys: what is left after deletions, for long words unchanged parts. Words of a length that
-    no term is near are left out first.
+    no term is near are left out first. ``sent``: what is done to the terms' keys before they are joined.
     """
     near = terms.select(F.explode(F.array(*[F.length("term") + d for d in (-1, 0, 1)])).alias("n")).distinct()
-    few = spread(words.join(near, F.length("word") == F.col("n"), "left_semi"), "word")
+    few = spread(words.join(sent(near), F.length("word") == F.col("n"), "left_semi"), "word")
     # edits are bounded by deletions up to their length, by parts beyond
     own = few.select("word", F.explode(F.concat(_deletions(F.col("word"), similarity), _segment_places(F.col("word"), similarity))).alias("key"))
     other = terms.select("term", F.explode(F.concat(_deletions(F.col("term"), similarity), _segments(F.col("term"), similarity))).alias("key"))
-    pairs = own.join(other, "key").select("word", "term").filter(F.abs(F.length("word") - F.length("term")) <= 1).distinct()
+    pairs = own.join(sent(other), "key").select("word", "term").filter(F.abs(F.length("word") - F.length("term")) <= 1).distinct()
     alike = T.similarity(F.col("word"), F.col("term"))
     return pairs.withColumn("alike", alike).filter(F.col("alike") >= similarity).select("word", "term", F.floor(100 * F.col("alike")).cast("int").alias("score"))
 

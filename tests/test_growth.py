@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvane.config import Settings
@@ -203,3 +204,26 @@ def test_diversity_reads_whole_texts(spark):
     rows = [(1, "q", 1, f"{begin} tail", 1.0, 1), (1, "q", 2, f"{begin} tail", 1.0, 2), (1, "q", 3, f"{begin} {other}", 0.99, 3)]
     ranked = spark.createDataFrame(rows, "query_id int, question string, doc_id int, text string, vector_score double, place int").withColumn("lexical_score", F.lit(None).cast("double"))
     assert [r.doc_id for r in fuse.diversify(ranked, 2).orderBy("mmr_rank").collect()] == [1, 3]
+
+
+def test_windows_are_measured_where_sentences_are_looked_at():
+    """In whole batches, with the scores of the definition; only sentences of the term's length and very long terms are left."""
+    rnd = random.Random(11)
+    make = lambda n: "".join(rnd.choice("abcdeé ") for _ in range(n))
+    sentences = [make(rnd.choice((1, 6, 10, 30, 90))) for _ in range(90)]
+    terms = {make(n) for n in (3, 6, 10, 10, 19, 40)}
+    for s in sentences[:25]:
+        t = s[(k := rnd.randrange(len(s))) : k + rnd.choice((5, 9, 12, 20, 64, 70))]
+        terms |= {t, t[:2] + t[3:], t[:3] + "b" + t[3:]} - {""}
+    for threshold in (80, 90):
+        rows = []
+        for t in sorted(terms):
+            edits = int(len(t) * 2 * (1 - threshold / 100) + 1e-9)
+            n = min(edits + 1, len(t))
+            cut = [i * len(t) // n for i in range(n + 1)]
+            rows.append((t, edits, [t[a:b] for a, b in zip(cut, cut[1:])]))
+        at, which, scores = fuzzy_search._Terms(rows, threshold).look(pa.array(sentences))
+        got = {(sentences[r], rows[n][0]): s for r, n, s in zip(at, which, scores)}
+        want = {(s, t): w for s in sentences for t in terms if len(s) >= len(t) and (w := partial_ratio(t, s)) >= threshold}
+        assert {k: s for k, s in got.items() if s == s} == {k: w for k, w in want.items() if len(k[0]) > len(k[1]) <= 64} and len(want) > 50
+        assert {k for k in want if len(k[0]) == len(k[1])} | {k for k in want if len(k[1]) > 64} <= {k for k, s in got.items() if s != s}
