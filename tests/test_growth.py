@@ -26,6 +26,16 @@ def test_scores_without_a_value_are_as_in_sql(spark, tmp_path):
     assert sorted(told(tuple(r)) for r in got.select("event_id", "safe", "clean").collect()) == sorted(told(r) for r in want.fetchall())
 
 
+def test_scores_that_are_floats_are_as_in_sql(spark, tmp_path):
+    rows = [(i, i / 10) for i in range(60)] + [(60, None), (63, float("nan"))]
+    spark.createDataFrame(rows, "event_id long, value double").withColumn("value", F.col("value").cast("float")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got, want = registry.QUERIES["score_cleanup"](spark, str(tmp_path)), con.sql(registry.ORACLE_SQL["score_cleanup"])
+    told = lambda r: (r[0], *[None if x is None else repr(x) for x in r[1:]])
+    assert sorted(told(tuple(r)) for r in got.select("event_id", "safe", "clean").collect()) == sorted(told(r) for r in want.fetchall())
+
+
 def _peak(spark):
     """Largest memory, MB, that a Python worker of the session has had."""
 
